@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import percentiles, runs
+from strandline.llm import encode, language, packing, percentiles, runs
 from strandline.operators.regular_grid import instant_ns
-from strandline.session import load
+from strandline.session import load, materialize
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.99)
 DAY_NS = 86_400_000_000_000
@@ -43,7 +43,37 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d, 1)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_day_summaries, p2_from_days, p4_found, p4_runs)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_corpus(load(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(materialize(encode.count_tokens(load(spark, d, "documents")), "tokens"))
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return language.assign_languages(docs, language.fit(docs))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(_languages(spark, d).where("numbered"), "languages")
+    main = rows.where("para_no = 0")
+    wrong = main.where("label is null or label != lang").select("doc_id", F.lit(0).cast("long").alias("para_no"), "lang")
+    other = (
+        rows.where("para_no > 0")
+        .join(main.select("doc_id", F.col("lang").alias("main")), "doc_id")
+        .where("lang != main")
+        .select("doc_id", "para_no", "lang")
+    )
+    return wrong.unionByName(other).distinct()
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_day_summaries, p2_from_days, p4_found, p4_runs, p7_ids, p8_containers, p9_found, p9_languages)}
 
 _P2 = """
 WITH v AS (SELECT attr_code, v + 0.0::DOUBLE AS v FROM points JOIN segment_headers USING (block_id)
