@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.operators import heavy_keys, regular_grid, spikes
+from strandline.operators import heavy_keys, regular_grid, schema_drift, spikes
 from strandline.session import load
 
 HEAVY_PERCENT = 3
@@ -59,7 +59,20 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_found, p5_flags)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.changes(load(spark, d, "schema_files"), load(spark, d, "raw_records")).drop("tbl_name", "written_ns")
+
+
+def p6_projections(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.projections(load(spark, d, "schema_files"), load(spark, d, "raw_records"))
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = schema_drift.consistent_table(load(spark, d, "schema_files"), load(spark, d, "raw_records"))
+    return rows.withColumn("fields", F.to_json("fields"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_found, p5_flags, p6_found, p6_projections, p6_table)}
 
 _PER_KEY = """
 SELECT {key}, count(*) AS n, min({time}) AS {first}, max({time}) AS {last},
