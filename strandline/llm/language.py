@@ -3,7 +3,8 @@
 The network (byte embedding, filters of several widths, max pooling, softmax) is trained in numpy on windows of a
 bounded sample of labelled documents; labels may be wrong, so windows that the half-trained network denies are
 dropped before it is trained on. It is then applied to fixed-length windows of whole texts, in batches; a window that
-occurs again is looked up. A paragraph has the language of most of its words: its windows vote with their words.
+occurs again is looked up. A paragraph has the language of most of its words: its windows vote with their words, and
+the document's main language decides where they hardly say anything.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 from strandline.llm.encode import bounds
 
 #: Bytes of a window; documents and windows of each that the network is fitted on at most; least share of a language.
-LENGTH, FIT_DOCUMENTS, FIT_WINDOWS, LEAST_SHARE = 40, 4000, 8, 0.01
+LENGTH, FIT_DOCUMENTS, FIT_WINDOWS, LEAST_SHARE = 64, 3000, 8, 0.01
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 16, 6
-#: Windows end where the rolling hash says so, some 32 bytes apart, so that passages that occur again give the same ones.
-CUT = np.uint32(31)
+#: Windows end where the rolling hash says so, on average 64 bytes apart, so that passages that occur again give the same ones.
+CUT = np.uint32(63)
+#: Share of paragraphs that are in their document's main language, taken as known; least probability that counts; words that
+#: weigh as much as one independent observation.
+MAIN_SHARE, LEAST_PROBABILITY, WORDS_EACH = 0.97, 0.01, 4.0
 #: Windows that a worker remembers.
 REMEMBER = 400_000
 
@@ -49,12 +53,12 @@ _GAP = r"(?=[\s\u00e2\u00c2]|$)"
 _BLANK = r"[ \t\u00a0]*"
 _STYLES = [
     re.compile("^" + _BLANK + p + _GAP, re.M)
-    for p in (r"\[(\d{1,5})\]", r"\((\d{1,5})\)", r"(\d{1,5})\)", r"\u00c2?\u00b6[ \t\u00a0\u00c2]*(\d{1,5})", r"(\d{1,5})\.")
+    for p in (r"\[(\d{1,5})\]", r"\((\d{1,5})\)", r"(\d{1,5})\)", r"\u00c2?\u00b6[ \t\u00a0\u00c2]*(\d{1,5})", r"(\d{1,5})\.", r"Rn\.[ \t\u00a0]*(\d{1,5})")
 ]
 _INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 _DOCKET = re.compile(r"\b[A-Z]{1,3}-\d{4}-\d{4,}\b")
-_PAGE = re.compile(r"\d+\s*(?:/|\w{1,4})\s*\d+")
-_WITHHELD = re.compile(r"\[[^\[\]\n]{0,60}\]|\*+|█+|<[^<>\n]{0,60}>")
+_PAGE = re.compile(r"^\W*(?:page|seite|pag|p\u00e1g|pagina|p\u00e1gina|strona|str|blz|bladzijde)\W+\d+\b.{0,40}$", re.I)
+_WITHHELD = re.compile(r"\[[^\[\]\n]{0,60}\]|\*+|\u2588+|<[^<>\n]{0,60}>|\bX{3,}\b|\b[0-9a-f]{16,}\b")
 
 
 def _chain(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -91,7 +95,7 @@ def paragraphs(text: str | None) -> list[tuple[int, str]]:
     for (number, _, start), end in zip(best, ends):
         lines = text[start:end].split("\n")
         if len(lines) > 1:
-            kept = [x for x in lines[1:] if x.strip() and not (_DOCKET.search(x) and len(x) < 120) and not (len(x) < 60 and _PAGE.search(x) and not x.rstrip().endswith("."))]
+            kept = [x for x in lines[1:] if x.strip() and not (_DOCKET.search(x) and len(x) < 120) and not _PAGE.search(x)]
             if end == len(text) and kept and len(kept[-1]) < 60 and not re.search(r"[.;:!?)\]\d*█…]\s*$", kept[-1]):
                 kept.pop()
             lines = lines[:1] + kept
@@ -101,7 +105,7 @@ def paragraphs(text: str | None) -> list[tuple[int, str]]:
 
 def words_only(text: str) -> str:
     """A text without what stands for something withheld, and without markup."""
-    return _WITHHELD.sub(" ", text) if any(c in text for c in "[*<█") else text
+    return _WITHHELD.sub(" ", text)
 
 
 # --- the network --------------------------------------------------------------------------------------------------
@@ -241,8 +245,8 @@ class Reader:
     def __init__(self, net: Network):
         self.net, self.known = net, {}
 
-    def text_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(words-weighted sums of probabilities, words) of each text."""
+    def text_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words-weighted sums of probabilities, of their logarithms, words) of each text."""
         windows, of, words = cut_windows(texts)
         unknown = [w for w in dict.fromkeys(windows) if w not in self.known]
         fresh = dict(zip(unknown, self.net.probabilities(as_matrix(unknown)))) if unknown else {}
@@ -252,8 +256,10 @@ class Reader:
             known.clear()
         known.update(fresh)
         scores = np.zeros((len(texts), len(self.net.classes)))
+        evidence = np.zeros_like(scores)
         np.add.at(scores, of, table * words[:, None])
-        return scores, np.bincount(of, words, minlength=len(texts))
+        np.add.at(evidence, of, np.log(table + LEAST_PROBABILITY) * words[:, None])
+        return scores, evidence, np.bincount(of, words, minlength=len(texts))
 
 
 def _sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,9 +309,10 @@ def _assign(net: Network):
             for t, ps in zip(texts, found):
                 spans.append((len(pieces), len(pieces) + max(1, len(ps))))
                 pieces += [words_only(p) for _, p in ps] or [words_only(t or "")]
-            scores, words = reader.text_scores(pieces)
+            scores, evidence, words = reader.text_scores(pieces)
             share = scores / np.maximum(words, 1)[:, None]
             best = share.argmax(axis=1)
+            prior = np.log(MAIN_SHARE * max(1, len(net.classes) - 1) / (1 - MAIN_SHARE))
             out = []
             for doc, label, ps, (a, z) in zip(ids, labels, found, spans):
                 own = [(number, i) for (number, _), i in zip(ps, range(a, z)) if words[i]]
@@ -314,6 +321,10 @@ def _assign(net: Network):
                     votes[best[i]] += (1, words[i])
                 if own:
                     main = max(range(len(net.classes)), key=lambda c: (votes[c][0], votes[c][1], -c))
+                    for _, i in own:  # few words that could be of any language are of the main one
+                        told = evidence[i] / WORDS_EACH
+                        told[main] += prior
+                        best[i] = told.argmax()
                     mine = [i for _, i in own if best[i] == main]
                     sure = float(np.average(share[mine, main], weights=words[mine]))
                 elif not ps and words[a]:
