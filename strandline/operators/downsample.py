@@ -131,7 +131,7 @@ def downsample(
     """(tag, ts_ns, value): every series of ``series`` (tag, ts_ns, value, and ``order`` to break ties) within the budget.
 
     ``start`` and ``end`` are inclusive. The span is cut at the tag's newest point, taken before range and predicate, as the
-    windows' widths depend on it. ``where`` is a boolean Column. ``budget`` 0 is DEFAULT_BUDGET, negative raises. Null tags
+    windows' widths depend on it. ``where`` is a boolean Column or SQL text. ``budget`` 0 is DEFAULT_BUDGET, negative raises. Null tags
     and times are left out; a null or NaN value is no number. Empty input gives no rows.
     """
     if budget < 0:

@@ -68,7 +68,11 @@ def _add(name: str, query, sql: str | None = None) -> None:
 _add("range_scan_raw", _scan(tag="click", start=T0, end=T1), f"{_EVENTS} WHERE tag = 'click' AND ts_ns BETWEEN {T0} AND {T1}")
 _add("sequential_scan_all", _scan(), _EVENTS)
 for _name, _op in {"eq": "=", "ne": "!=", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}.items():
-    _add(f"filter_{_name}", _scan(Condition("", _op, 42.5), tag="view"), f"{_EVENTS} WHERE tag = 'view' AND value {_op} 42.5")
+    _add(
+        f"filter_{_name}",
+        lambda spark, d, op=_op: reads.range_scan(lineitems(spark, d), tag="R", predicate=Condition("", op, 24)),
+        f"SELECT l_returnflag AS tag, epoch_us(l_shipdate) * 1000 AS ts_ns, l_quantity AS value, l_orderkey * 16 + l_linenumber AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity {_op} 24",
+    )
 _add(
     "filter_and",
     _scan(all_of(Condition("", ">", 20.0), Condition("", "<=", 60.0))),
@@ -231,7 +235,7 @@ for _mode in ("avg", "min", "max"):
     _add(f"downsample_{_mode}", _down(50, _mode), chain_sql(_S_EVENTS, 50, _mode))
 for _m in (1, 2):
     _add(f"downsample_budget_{_m}", _down(_m, "avg"), chain_sql(_S_EVENTS, _m, "avg"))
-_add("downsample_filtered", _down(50, "avg", F.col("value") > 20), chain_sql(_S_EVENTS, 50, "avg", "s.value > 20"))
+_add("downsample_filtered", _down(50, "avg", "value > 20"), chain_sql(_S_EVENTS, 50, "avg", "s.value > 20"))
 _add(
     "downsample_range",
     _down(100, "max", start=T0, end=T1),
