@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.functions.predicates import build
+from strandline.session import materialize, shuffle_width
 
 
 def clamp(start: int, end: int, now_ns: int, expiration_ns: int) -> tuple[int, int]:
@@ -41,9 +42,17 @@ def latest(series: DataFrame, arrival: str | None = None) -> DataFrame:
 
 
 def tag_dictionary(series: DataFrame, arrival: str) -> DataFrame:
-    """(tag, code): codes from 1 by first appearance. Ordering is over the distinct tags only."""
+    """(tag, code): codes from 1 by first appearance (ties by name).
+
+    Distinct tags are range-sorted, counted per range, and numbered within their range from the count of those before, so
+    that any number of tags is numbered without gathering them.
+    """
     first = series.where("tag is not null").groupBy("tag").agg(F.min(arrival).alias("f"))
-    return first.select("tag", F.row_number().over(Window.orderBy("f", "tag")).cast("long").alias("code"))
+    ranged = materialize(first.repartitionByRange(shuffle_width(series.sparkSession), "f", "tag").withColumn("part", F.spark_partition_id()), "tags")
+    parts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))  # one row per range
+    before = parts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("f", "tag"))
+    return ranged.withColumn("own", own).join(F.broadcast(before), "part").select("tag", (F.col("before") + F.col("own")).cast("long").alias("code"))
 
 
 def retained(series: DataFrame, now_ns: int, expiration_ns: int) -> DataFrame:

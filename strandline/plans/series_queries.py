@@ -279,7 +279,7 @@ _add(
 )
 _add(
     "tag_dictionary_codes",
-    lambda spark, d: reads.tag_dictionary(events(spark, d, F.col("value")).withColumn("tag", F.col("tag")), "event_id"),
+    lambda spark, d: reads.tag_dictionary(events(spark, d), "event_id"),
     "SELECT tag, row_number() OVER (ORDER BY f, tag) AS code FROM (SELECT event_type AS tag, min(event_id) AS f FROM events GROUP BY 1)",
 )
 _add(
