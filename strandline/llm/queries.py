@@ -81,4 +81,33 @@ WITH v AS (SELECT attr_code, v + 0.0::DOUBLE AS v FROM points JOIN segment_heade
 r AS (SELECT attr_code, v, row_number() OVER (PARTITION BY attr_code ORDER BY v) AS k, count(*) OVER (PARTITION BY attr_code) AS n FROM v)
 SELECT attr_code, q, n, v AS value FROM r, (SELECT unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.99]) AS q)
 WHERE k = greatest(1, ceil(q * n::DOUBLE)::BIGINT)"""
-ORACLES = {"p2_percentiles": _P2}
+_P4 = """
+WITH d AS (
+  SELECT tag_key, ts_ns, arg_min(val, entry_id) AS val, min(entry_id) AS entry_id FROM wal_entries
+  WHERE tag_key IS NOT NULL AND tag_key <> 0 AND val IS NOT NULL AND ts_ns IS NOT NULL GROUP BY tag_key, ts_ns),
+m AS (
+  SELECT tag_key, ts_ns, val, CASE WHEN json_type(val) = 'OBJECT' THEN list_sort(json_keys(val)) ELSE [''] END AS ks FROM d),
+p AS (
+  SELECT tag_key, ts_ns, val, json_type(val) = 'OBJECT' AS obj,
+    list_transform(ks, lambda k: struct_pack(
+      k := k,
+      t := CASE WHEN json_type(val, CASE WHEN k = '' THEN '$' ELSE '$.' || k END) IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'NUM'
+                ELSE json_type(val, CASE WHEN k = '' THEN '$' ELSE '$.' || k END) END,
+      s := lower(trim(json_extract_string(val, CASE WHEN k = '' THEN '$' ELSE '$.' || k END))),
+      n := try_cast(json_extract_string(val, CASE WHEN k = '' THEN '$' ELSE '$.' || k END) AS DOUBLE))) AS v
+  FROM m),
+l AS (
+  SELECT *, lag(v) OVER w AS pv, lag(obj) OVER w AS po, lag(ts_ns) OVER w AS pt FROM p WINDOW w AS (PARTITION BY tag_key ORDER BY ts_ns)),
+b AS (
+  SELECT tag_key, ts_ns, val, CASE WHEN pt IS NOT NULL AND ts_ns - pt <= 600000000000 AND po = obj AND len(pv) = len(v)
+    AND len(list_filter(list_zip(pv, v), lambda z: NOT (z[1].k = z[2].k AND z[1].t = z[2].t AND
+        CASE WHEN z[1].t = 'NUM' THEN abs(z[1].n - z[2].n) <= 0.001 + 1e-9 ELSE coalesce(z[1].s, '') = coalesce(z[2].s, '') END))) = 0
+    THEN 0 ELSE 1 END AS fresh FROM l),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY tag_key ORDER BY ts_ns) AS run FROM b)
+"""
+ORACLES = {
+    "p2_percentiles": _P2,
+    "p4_found": _P4 + "SELECT tag_key, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM r GROUP BY tag_key, run HAVING count(*) >= 2",
+    "p4_runs": _P4 + """SELECT tag_key, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, max(ts_ns) - min(ts_ns) AS duration_ns,
+arg_min(val, ts_ns) AS val FROM r GROUP BY tag_key, run""",
+}
