@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.encode import bounds
@@ -27,8 +28,8 @@ CUT = np.uint32(63)
 #: Share of paragraphs that are in their document's main language, taken as known; least probability that counts; words that
 #: weigh as much as one independent observation.
 MAIN_SHARE, LEAST_PROBABILITY, WORDS_EACH = 0.97, 0.01, 4.0
-#: Windows that a worker remembers.
-REMEMBER = 400_000
+#: Windows that a worker remembers, and documents that it works on at once.
+REMEMBER, AT_ONCE = 400_000, 2000
 
 #: ISO 639-1 codes of European languages and their ISO 639-2 codes (both, where there are two).
 ISO_CODES = {
@@ -49,16 +50,17 @@ def label_code(label: str | None) -> str | None:
 
 # --- numbered paragraphs ------------------------------------------------------------------------------------------
 
-_GAP = r"(?=[\s\u00e2\u00c2]|$)"
-_BLANK = r"[ \t\u00a0]*"
-_STYLES = [
-    re.compile("^" + _BLANK + p + _GAP, re.M)
-    for p in (r"\[(\d{1,5})\]", r"\((\d{1,5})\)", r"(\d{1,5})\)", r"\u00c2?\u00b6[ \t\u00a0\u00c2]*(\d{1,5})", r"(\d{1,5})\.", r"Rn\.[ \t\u00a0]*(\d{1,5})")
-]
-_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
+#: How a paragraph may begin; the group that matches is its style.
+_MARK = re.compile(
+    r"[ \t\u00a0]*(?:\[(\d{1,5})\]|\((\d{1,5})\)|(\d{1,5})\)|(\d{1,5})\.|\u00c2?\u00b6[ \t\u00a0\u00c2]*(\d{1,5})|Rn\.[ \t\u00a0]*(\d{1,5}))"
+    r"(?=[\s\u00e2\u00c2]|$)"
+)
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _DOCKET = re.compile(r"\b[A-Z]{1,3}-\d{4}-\d{4,}\b")
 _PAGE = re.compile(r"^\W*(?:page|seite|pag|p\u00e1g|pagina|p\u00e1gina|strona|str|blz|bladzijde)\W+\d+\b.{0,40}$", re.I)
-_WITHHELD = re.compile(r"\[[^\[\]\n]{0,60}\]|\*+|\u2588+|<[^<>\n]{0,60}>|\bX{3,}\b|\b[0-9a-f]{16,}\b")
+_WITHHELD = re.compile(r"\[[^\[\]\n]{0,60}\]|\*+|\u2588+|<[^<>\n]{0,60}>|\bX{3,}\b")
+_SENTENCE_END = re.compile(r"[.;:!?)\]\d*\u2588\u2026]\s*$")
+_DIGEST = re.compile(r"\b[0-9a-f]{24,}\b")
 
 
 def _chain(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -84,28 +86,34 @@ def paragraphs(text: str | None) -> list[tuple[int, str]]:
     """(printed number, text) of the numbered paragraphs, without page headers and the closing line."""
     if not text:
         return []
-    text = _INVISIBLE.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+    for c in _INVISIBLE:
+        if c in text:
+            text = text.replace(c, "")
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    hits: dict[int, list[tuple[int, int, int]]] = {}  # style -> (number, line, end of the mark)
+    for i, line in enumerate(lines):
+        m = _MARK.match(line)
+        if m:
+            hits.setdefault(m.lastindex, []).append((int(m[m.lastindex]), i, m.end()))
     best: list[tuple[int, int, int]] = []
-    for style in _STYLES:
-        hits = [(int(m.group(1)), m.start(), m.end()) for m in style.finditer(text)]
-        if len(hits) > len(best) and len(got := _chain(hits)) > len(best):
+    for found in sorted(hits.values(), key=len, reverse=True):
+        if len(found) > len(best) and len(got := _chain(found)) > len(best):
             best = got
     out = []
-    ends = [h[1] for h in best[1:]] + [len(text)]
-    for (number, _, start), end in zip(best, ends):
-        lines = text[start:end].split("\n")
-        if len(lines) > 1:
-            kept = [x for x in lines[1:] if x.strip() and not (_DOCKET.search(x) and len(x) < 120) and not _PAGE.search(x)]
-            if end == len(text) and kept and len(kept[-1]) < 60 and not re.search(r"[.;:!?)\]\d*█…]\s*$", kept[-1]):
-                kept.pop()
-            lines = lines[:1] + kept
-        out.append((number, "\n".join(lines)))
+    ends = [h[1] for h in best[1:]] + [len(lines)]
+    for (number, first, start), end in zip(best, ends):
+        kept = [x for x in lines[first + 1 : end] if x.strip() and not (len(x) < 120 and (_DOCKET.search(x) or _PAGE.search(x)))]
+        if end == len(lines) and kept and not _SENTENCE_END.search(closing := _DIGEST.sub("", kept[-1])) and len(closing) < 60:
+            kept.pop()
+        out.append((number, "\n".join([lines[first][start:], *kept])))
     return out
 
 
 def words_only(text: str) -> str:
-    """A text without what stands for something withheld, and without markup."""
-    return _WITHHELD.sub(" ", text)
+    """A text without what stands for something withheld, and without markup and digests."""
+    if any(c in text for c in ("[", "*", "\u2588", "<", "XXX")):
+        text = _WITHHELD.sub(" ", text)
+    return _DIGEST.sub(" ", text) if _DIGEST.search(text) else text
 
 
 # --- the network --------------------------------------------------------------------------------------------------
@@ -126,10 +134,11 @@ class Network:
     classes: list[str]
 
     def pooled(self, windows: np.ndarray):
-        widest = max(WIDTHS)
         x = self.embed[windows]  # n, length, embed
-        view = np.lib.stride_tricks.sliding_window_view(x, widest, axis=1)  # n, positions, embed, widest
-        patches = view.transpose(0, 1, 3, 2).reshape(len(windows), view.shape[1], -1)
+        n, length, embed = x.shape
+        a, b, c = x.strides
+        # a patch is one piece of memory: the embeddings of as many bytes as the widest filter has
+        patches = np.ascontiguousarray(np.lib.stride_tricks.as_strided(x, (n, length - max(WIDTHS) + 1, max(WIDTHS) * embed), (a, b, c), writeable=False))
         return patches, patches.reshape(-1, patches.shape[2]) @ self.filters
 
     def probabilities(self, windows: np.ndarray, batch: int = 256) -> np.ndarray:
@@ -207,32 +216,30 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: i
 # --- windows ------------------------------------------------------------------------------------------------------
 
 
-def cut_windows(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def cut_windows(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(windows, text of each, words of each) over whole texts; a window has at most LENGTH bytes and words of one text."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     joined = _FOLD[np.frombuffer(b"".join(raw), dtype=np.uint8)]
     ends = np.cumsum(size)
     if not len(joined):
-        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+        return pa.array([], pa.large_binary()), np.empty(0, np.int64), np.empty(0, np.int64)
     cut = bounds(joined, ends - size, ends, CUT)
     # longer pieces are cut every LENGTH bytes
-    length = np.diff(cut)
-    times = (length + LENGTH - 1) // LENGTH
+    times = (np.diff(cut) + LENGTH - 1) // LENGTH
     first = np.repeat(cut[:-1], times)
     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     start = first + nth * LENGTH
-    stop = np.minimum(start + LENGTH, np.repeat(cut[1:], times))
+    stop = np.append(start[1:], len(joined))
     letter = ((joined >= 97) & (joined <= 122)) | (joined >= 0xC3)
-    # the second of the letters that a word begins with, so that single letters are no words
+    # a word begins with a letter after none; one that stands alone is no word
     begin = np.zeros(len(joined), dtype=np.int64)
     begin[1:-1] = letter[1:-1] & letter[2:] & ~letter[:-2] & ~((joined[:-2] >= 0x80) & (joined[:-2] < 0xC0))
     if len(joined) > 1:
         begin[0] = letter[0] & letter[1]
     upto = np.concatenate([[0], np.cumsum(begin)])
-    words = upto[stop] - upto[start]
-    data = joined.tobytes()
-    return [data[a:z] for a, z in zip(start.tolist(), stop.tolist())], np.searchsorted(ends, start, side="right"), words
+    windows = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(joined)).astype(np.int64)), pa.py_buffer(joined.tobytes())])
+    return windows, np.searchsorted(ends, start, side="right"), upto[stop] - upto[start]
 
 
 def as_matrix(windows: list[bytes]) -> np.ndarray:
@@ -248,18 +255,19 @@ class Reader:
     def text_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words-weighted sums of probabilities, of their logarithms, words) of each text."""
         windows, of, words = cut_windows(texts)
-        unknown = [w for w in dict.fromkeys(windows) if w not in self.known]
-        fresh = dict(zip(unknown, self.net.probabilities(as_matrix(unknown)))) if unknown else {}
-        known = self.known
-        table = np.array([fresh[w] if w in fresh else known[w] for w in windows], dtype=np.float32).reshape(len(windows), len(self.net.classes))
-        if len(known) + len(fresh) > REMEMBER:
+        coded = windows.dictionary_encode()
+        known, kinds = self.known, len(self.net.classes)
+        each = coded.dictionary.to_pylist()
+        if len(known) + len(each) > REMEMBER:
             known.clear()
-        known.update(fresh)
-        scores = np.zeros((len(texts), len(self.net.classes)))
-        evidence = np.zeros_like(scores)
-        np.add.at(scores, of, table * words[:, None])
-        np.add.at(evidence, of, np.log(table + LEAST_PROBABILITY) * words[:, None])
-        return scores, evidence, np.bincount(of, words, minlength=len(texts))
+        unknown = [w for w in each if w not in known]
+        if unknown:
+            known.update(zip(unknown, self.net.probabilities(as_matrix(unknown))))
+        table = np.array([known[w] for w in each], dtype=np.float32).reshape(len(each), kinds)
+        at = coded.indices.to_numpy()
+        logs = np.log(table + LEAST_PROBABILITY)
+        sums = lambda x: np.stack([np.bincount(of, x[at, c] * words, minlength=len(texts)) for c in range(kinds)], axis=1)
+        return sums(table), sums(logs), np.bincount(of, words, minlength=len(texts))
 
 
 def _sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +278,7 @@ def _sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if code is None:
                 continue
             windows, _, words = cut_windows([words_only(t) for _, t in paragraphs(text)])
-            good = [w for w, n in zip(windows, words) if n >= 2]
+            good = [w for w, n in zip(windows.to_pylist(), words) if n >= 2]
             rng = np.random.default_rng(abs(int(doc or 0)) % 2**32)
             out += [(code, good[i]) for i in sorted(rng.permutation(len(good))[:FIT_WINDOWS])]
         yield pd.DataFrame(out, columns=["lang", "window"])
@@ -300,41 +308,47 @@ _COLUMNS = "doc_id long, para_no long, lang string, confidence double, words lon
 
 def _assign(net: Network):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(net)
-        for pdf in frames:
-            ids, labels, texts = list(pdf.id), list(pdf.label), list(pdf.text)
-            found = [paragraphs(t) for t in texts]
-            # a document without numbered paragraphs is one segment of its own
-            pieces, spans = [], []
-            for t, ps in zip(texts, found):
-                spans.append((len(pieces), len(pieces) + max(1, len(ps))))
-                pieces += [words_only(p) for _, p in ps] or [words_only(t or "")]
+        reader, names, kinds = Reader(net), np.array(net.classes, dtype=object), len(net.classes)
+        prior = np.log(MAIN_SHARE * max(1, kinds - 1) / (1 - MAIN_SHARE))
+        for pdf in (whole.iloc[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
+            n = len(pdf)
+            pieces, doc, number = [], [], []
+            for i, t in enumerate(pdf.text):
+                found = paragraphs(t)
+                # a document without numbered paragraphs is one segment of its own, without number
+                for no, p in found or [(-1, t or "")]:
+                    pieces.append(words_only(p))
+                    doc.append(i)
+                    number.append(no)
+            doc, number = np.array(doc), np.array(number)
             scores, evidence, words = reader.text_scores(pieces)
             share = scores / np.maximum(words, 1)[:, None]
             best = share.argmax(axis=1)
-            prior = np.log(MAIN_SHARE * max(1, len(net.classes) - 1) / (1 - MAIN_SHARE))
-            out = []
-            for doc, label, ps, (a, z) in zip(ids, labels, found, spans):
-                own = [(number, i) for (number, _), i in zip(ps, range(a, z)) if words[i]]
-                votes = np.zeros((len(net.classes), 2))
-                for _, i in own:
-                    votes[best[i]] += (1, words[i])
-                if own:
-                    main = max(range(len(net.classes)), key=lambda c: (votes[c][0], votes[c][1], -c))
-                    for _, i in own:  # few words that could be of any language are of the main one
-                        told = evidence[i] / WORDS_EACH
-                        told[main] += prior
-                        best[i] = told.argmax()
-                    mine = [i for _, i in own if best[i] == main]
-                    sure = float(np.average(share[mine, main], weights=words[mine]))
-                elif not ps and words[a]:
-                    main, sure = int(best[a]), float(share[a, best[a]])
-                else:
-                    main, sure = None, None
-                total = int(words[a:z].sum())
-                out.append((doc, 0, None if main is None else net.classes[main], sure, total, label_code(label), bool(own)))
-                out += [(doc, number, net.classes[best[i]], float(share[i, best[i]]), int(words[i]), None, True) for number, i in own]
-            yield pd.DataFrame(out, columns=["doc_id", "para_no", "lang", "confidence", "words", "label", "numbered"])
+            told = words > 0
+            numbered = np.bincount(doc, told & (number >= 0), minlength=n) > 0
+            use = np.flatnonzero(told)
+            count, weight = np.zeros((n, kinds)), np.zeros((n, kinds))
+            np.add.at(count, (doc[use], best[use]), 1)
+            np.add.at(weight, (doc[use], best[use]), words[use])
+            main = (count + weight / (weight.sum() + 1)).argmax(axis=1)  # the alphabet decides what words don't
+            # few words that could be of any language are of the main one
+            evidence = evidence / WORDS_EACH
+            evidence[np.arange(len(doc)), main[doc]] += prior
+            best = np.where(number >= 0, evidence.argmax(axis=1), best)
+            sure = share[np.arange(len(doc)), best]
+            own = use[best[use] == main[doc[use]]]
+            mean = np.bincount(doc[own], sure[own] * words[own], minlength=n) / np.maximum(np.bincount(doc[own], words[own], minlength=n), 1)
+            any_words = np.bincount(doc, told, minlength=n) > 0
+            ids = pdf.id.to_numpy(dtype=object)
+            yield pd.DataFrame({
+                "doc_id": ids, "para_no": 0, "lang": np.where(any_words, names[main], None), "confidence": np.where(any_words, mean, np.nan),
+                "words": np.bincount(doc, words, minlength=n).astype(np.int64), "label": [label_code(x) for x in pdf.label], "numbered": numbered,
+            })
+            para = use[number[use] >= 0]
+            yield pd.DataFrame({
+                "doc_id": ids[doc[para]], "para_no": number[para], "lang": names[best[para]], "confidence": sure[para],
+                "words": words[para].astype(np.int64), "label": None, "numbered": True,
+            })
 
     return run
 

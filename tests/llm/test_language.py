@@ -3,22 +3,23 @@ import pytest
 
 from strandline.llm import language as L, queries
 
+#: Frequent words; a word that several languages share stands in all their lists.
 WORDS = {
-    "en": "the of and to in was that by had without for is not on been",
-    "de": "der die das und den nicht mit von im dem auf zu ist hat",
-    "fr": "le la les du de une que pour est par au dans ne avait",
-    "pl": "i na nie z do się że przez oraz jest od za bez dnia",
-    "nl": "het een van en niet dat voor op met aan zonder werd geen",
-    "it": "il della di che per in non una con alla stato è gli",
-    "es": "el los las del que y por en una para con sin había",
-    "pt": "o os do da dos das que em não uma para com foi ao",
+    "en": "the of and to in was that by no had without for is not on been as which a",
+    "de": "der die das und den des nicht mit von im in dem auf zu ist hat aus kein ohne",
+    "fr": "le la les des et du de une que pour est par au sans dans aux ce ne avait a",
+    "pl": "i w na nie z do się że przez o oraz jest od za po mimo bez dnia",
+    "nl": "de het een van en in niet dat die voor is op met aan zonder werd geen heeft",
+    "it": "il la lo le del della di che e per in non una con si nel alla stato è gli ha a",
+    "es": "el la los las del de que y por en no una para con se lo sin al había a",
+    "pt": "o a os as do da dos das de que e por em não uma para com se no na foi ao sem",
 }
 
 
 def by_words(text):
     found = {k: sum(w in v.split() for w in text.lower().split()) for k, v in WORDS.items()}
     best = sorted(found.items(), key=lambda x: -x[1])
-    return best[0][0] if best[0][1] >= best[1][1] + 4 else None
+    return best[0][0] if best[0][1] >= best[1][1] + 3 else None
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +41,8 @@ def test_held_out_paragraphs(spark, net):
     pairs = [(k, p) for k, p in pairs if k]
     scores, _, _ = L.Reader(net).text_scores([L.words_only(p) for _, p in pairs])
     right = np.mean([net.classes[b] == k for (k, _), b in zip(pairs, scores.argmax(axis=1))])
-    assert len(pairs) > 3000 and right > 0.99
+    assert len(pairs) > 3000
+    assert right > 0.99, right
 
 
 def test_found_cases(spark, sf01):
