@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW, MASK = 8, np.uint32(3)
 #: Bytes of chunks that a worker keeps before it starts again.
 KEEP_BYTES = 64 << 20
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 8 << 20
 
 _GEAR = np.random.default_rng(20_240_101).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -184,10 +186,17 @@ def worker_encoder(path: str, pattern: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``limit`` bytes, so that work and results of long texts are held for a few at a time."""
+    rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def _run(path: str, pattern: str, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, offsets = encoder(batch.column(1))
             if counts_only:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets))], names=["id", "n_tokens"])
