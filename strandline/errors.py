@@ -33,6 +33,10 @@ class UnsupportedFloat(EngineError):
     """NaN or infinite."""
 
 
+class TypeMismatch(EngineError):
+    """A value that cannot be converted to its column's type."""
+
+
 class LateRecord(EngineError):
     """Older than the last kept record of its tag."""
 

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strandline.catalog import BOOL, DEFAULT_TABLE, FLOAT, INT, JSON, STRING, STRUCTURE, UNKNOWN, Catalog, ColumnAttribute, TableInfo
-from strandline.errors import InvalidPredicate, LateRecord, NoDataForTag, TableNotFound, TagNotFound
+from strandline.errors import InvalidPredicate, LateRecord, NoDataForTag, TableNotFound, TagNotFound, TypeMismatch
 from strandline.functions.predicates import build
 from strandline.functions.quantize import quantize
 from strandline.operators import ingest, reads
@@ -123,7 +123,10 @@ class Database:
         rows = ingest.guards(df.select("tag", "ts_ns", "value"), self._now(now_ns), c.max_ahead_s * 1_000_000_000, strict=strict)
         kind = info.column.spark_type()
         if rows.schema["value"].dataType != kind and not isinstance(kind, (T.VariantType, T.StructType)):
-            rows = rows.withColumn("value", F.col("value").try_cast(kind)).where("value is not null")
+            cast = F.col("value").try_cast(kind)
+            if strict and rows.where(cast.isNull()).limit(1).count():
+                raise TypeMismatch(info.name)
+            rows = rows.withColumn("value", cast).where("value is not null")
         elif isinstance(kind, T.VariantType) and not isinstance(rows.schema["value"].dataType, T.VariantType):
             rows = rows.withColumn("value", F.to_variant_object("value") if isinstance(rows.schema["value"].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col("value").cast("variant"))
         elif isinstance(kind, T.StructType):
