@@ -20,7 +20,7 @@ from zlib import crc32
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandline.session import materialize
+from strandline.session import materialize, spread
 
 DECLARED, STRUCTURE = 6, 6
 #: The type codes of declared fields and the names of adaptive column types.
@@ -123,7 +123,7 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def members(records: DataFrame) -> DataFrame:
     """(file_id, path, counts by kind, sums, shapes) of the values in the records; payloads that can't be parsed give none."""
-    part = records.where("file_id is not null and payload is not null").select("file_id", "payload").mapInPandas(
+    part = spread(records.where("file_id is not null and payload is not null").select("file_id", "payload")).mapInPandas(
         _members,
         "file_id long, path string, n_null long, n_bool long, n_true long, n_int long, n_frac long, n_str long, s1 double, s2 double, shapes array<string>",
     )

@@ -84,6 +84,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row. Inputs of more files or
+    splits than that, as all large ones are, stay as they are: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions of an explicit exchange: the session's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
