@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from strandline.session import spread
+
 #: Bytes that the rolling hash looks at, and its mask: a cut every 4 bytes on average, so that with the boundaries around it
 #: a chunk is a word or a few.
 WINDOW, MASK = 8, np.uint32(3)
@@ -214,7 +216,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     with null or repeated keys stay as they are. Other columns are ignored.
     """
     own_path, own_pattern = default_tokenizer() if path is None or pattern is None else (path, pattern)
-    out = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(
+    out = spread(df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))).mapInArrow(
         _run(path or own_path, pattern or own_pattern, False), "id long, ids array<int>"
     )
     return out.withColumnRenamed("id", key)
@@ -223,7 +225,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(``key``, ``n_tokens``): how many ids :func:`encode_corpus` gives; 0 for empty and null texts."""
     own_path, own_pattern = default_tokenizer() if path is None or pattern is None else (path, pattern)
-    out = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(
+    out = spread(df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))).mapInArrow(
         _run(path or own_path, pattern or own_pattern, True), "id long, n_tokens long"
     )
     return out.withColumnRenamed("id", key)

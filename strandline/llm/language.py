@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.encode import bounds
+from strandline.session import spread
 
 #: Bytes of a window; documents and windows of each that the network is fitted on at most; least share of a language.
 LENGTH, FIT_DOCUMENTS, FIT_WINDOWS, LEAST_SHARE = 64, 3000, 8, 0.01
@@ -195,12 +196,13 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: i
             d[np.arange(len(y)), y] -= 1
             d /= len(y)
             g_top = (d @ net.out.T) * (top > 0)
-            best = np.take_along_axis(patches, at[:, :, None], 1)  # n, filters, widest * embed: the winning patches
+            row = np.arange(len(w))[:, None]
+            best = patches[row, at]  # n, filters, widest * embed: the winning patches
             g_filters = np.einsum("nf,nfk->kf", g_top, best) * mask
             g_patch = (g_top[:, :, None] * net.filters.T[None]).reshape(len(w), total, max(WIDTHS), EMBED)
-            g_embed = np.zeros_like(net.embed)
-            for j in range(max(WIDTHS)):
-                np.add.at(g_embed, w[np.arange(len(w))[:, None], at + j], g_patch[:, :, j])
+            byte = w[row[:, :, None], at[:, :, None] + np.arange(max(WIDTHS))].astype(np.int64)
+            slot = byte[..., None] * EMBED + np.arange(EMBED)
+            g_embed = np.bincount(slot.ravel(), g_patch.ravel(), minlength=256 * EMBED).reshape(256, EMBED).astype(np.float32)
             grads = [g_embed, g_filters, g_top.sum(0), act.T @ d, d.sum(0)]
             step += 1
             rate = 0.01 * (1 - 0.9 * epoch / epochs)
@@ -293,7 +295,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     n = df.count()
     chosen = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     chosen = chosen.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // documents))) == 0)
-    got = chosen.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t")).mapInPandas(_sample, "lang string, window binary").toPandas()
+    got = spread(chosen.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t"))).mapInPandas(_sample, "lang string, window binary").toPandas()
     got = got.assign(window=got.window.map(bytes)).sort_values(["lang", "window"]).reset_index(drop=True)
     share = got.lang.value_counts(normalize=True)
     classes = sorted(share[share >= LEAST_SHARE].index)
@@ -361,4 +363,4 @@ def assign_languages(df: DataFrame, net: Network, key: str = "doc_id", text: str
     denotes, ``confidence`` the mean probability over the words. Extra columns are ignored; empty input gives no rows.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(_assign(net), _COLUMNS)
+    return spread(rows).mapInPandas(_assign(net), _COLUMNS)
