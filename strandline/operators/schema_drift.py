@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.session import materialize, spread
@@ -264,13 +265,17 @@ def edit_script(before: list[dict], after: list[dict]) -> list[tuple[str, str, s
     return out
 
 
-def _scripts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
+_CHANGES = pa.schema([("tbl_name", pa.string()), ("written_ns", pa.int64()), ("file_id", pa.int64()), ("change_kind", pa.string()), ("old_path", pa.string()), ("new_path", pa.string())])
+
+
+def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         out = []
-        for tbl, file_id, written, before, after in pdf.itertuples(index=False):
-            lists = [[{**x, "shapes": list(x["shapes"]) if x["shapes"] is not None else []} for x in side] if side is not None else [] for side in (before, after)]
-            out += [(tbl, written, file_id, *c) for c in edit_script(*lists)]
-        yield pd.DataFrame(out, columns=["tbl_name", "written_ns", "file_id", "change_kind", "old_path", "new_path"])
+        for r in batch.to_pylist():
+            sides = [[{**x, "shapes": x["shapes"] or []} for x in r[side] or []] for side in ("before", "after")]
+            out += [(r["tbl_name"], r["written_ns"], r["file_id"], *c) for c in edit_script(*sides)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHANGES)], schema=_CHANGES)
 
 
 def _by_file(files: DataFrame, every: DataFrame) -> DataFrame:
@@ -298,7 +303,7 @@ def changes(files: DataFrame, records: DataFrame, every: DataFrame | None = None
         .join(schemas.select(F.col("file_id").alias("prev"), F.col("fields").alias("before")), "prev", "left")
         .select("tbl_name", "file_id", "written_ns", "before", "after")
     )
-    return pairs.mapInPandas(
+    return pairs.mapInArrow(
         _scripts, "tbl_name string, written_ns long, file_id long, change_kind string, old_path string, new_path string"
     )
 
