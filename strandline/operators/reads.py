@@ -31,13 +31,14 @@ def range_scan(series: DataFrame, start: int | None = None, end: int | None = No
 
 
 def latest(series: DataFrame, arrival: str | None = None) -> DataFrame:
-    """(tag, ts_ns, value) of each tag's newest row; of equal times the last to arrive. One map-side combined aggregate."""
-    key = F.struct("ts_ns", F.col(arrival) if arrival else F.lit(0).alias("a"))
+    """(tag, ts_ns, value) of each tag's newest row; of equal times the last to arrive. One map-side combined aggregate, for
+    values of any type; null tags and times are left out."""
+    order = F.struct("ts_ns", arrival) if arrival else F.col("ts_ns")
     return (
         series.where("tag is not null and ts_ns is not null")
         .groupBy("tag")
-        .agg(F.max(F.struct(key.alias("k"), F.col("value").alias("v"))).alias("top"))
-        .select("tag", F.col("top.k.ts_ns").alias("ts_ns"), F.col("top.v").alias("value"))
+        .agg(F.max("ts_ns").alias("_ts"), F.max_by("value", order).alias("value"))
+        .select("tag", F.col("_ts").alias("ts_ns"), "value")
     )
 
 

@@ -204,12 +204,9 @@ class Database:
 
     def query_latest(self, table: str, tag: str):
         """(ts_ns, value) of the tag's newest point; an unknown tag and one without data left are errors."""
-        df = self.series(table)
-        rows = reads.latest(df.where(F.col("tag") == tag), "seq").collect() if not isinstance(df.schema["value"].dataType, T.VariantType) else df.where(F.col("tag") == tag).orderBy(F.desc("ts_ns"), F.desc("seq")).limit(1).collect()
+        rows = reads.latest(self.series(table).where(F.col("tag") == tag), "seq").collect()
         if not rows:
-            raise TagNotFound(tag)
-        if rows[0]["ts_ns"] is None:
-            raise NoDataForTag(tag)
+            raise NoDataForTag(tag) if self._was_written(table, tag) else TagNotFound(tag)
         return rows[0]["ts_ns"], rows[0]["value"]
 
     def query_latest_all(self, table: str) -> DataFrame:
@@ -218,6 +215,11 @@ class Database:
     def tags(self, table: str) -> DataFrame:
         return self.series(table).select("tag").distinct()
 
+    def _was_written(self, table: str, tag: str) -> bool:
+        """Whether a tag without rows had some that retention has dropped."""
+        fs, p = self.catalog._fs(f"{self.catalog.get(table).name}.dropped-tags")
+        return fs.exists(p) and bool(self.spark.read.schema("tag string").parquet(p.toString()).where(F.col("tag") == tag).limit(1).count())
+
     # --- upkeep
 
     def sweep(self, table: str, now_ns: int | None = None) -> int:
@@ -231,6 +233,9 @@ class Database:
             return 0
         days = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("day="))
         old = [d for d in days[:-1] if (d + 1) * DAY_NS <= self._now(now_ns) - keep]
+        if old:
+            gone = self.series(info.name).where(F.col("day").isin(old)).select("tag").distinct()
+            gone.write.mode("append").parquet(f"{self.catalog.folder(info.name)}.dropped-tags")
         for d in old:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.catalog.folder(info.name)}/day={d}"), True)
         return len(old)

@@ -1,7 +1,7 @@
 import pytest
 
 from strandline.catalog import BOOL, FLOAT, INT, STRING, STRUCTURE, UNKNOWN, ColumnAttribute
-from strandline.errors import EmptyValue, LateRecord, TableExists, TableNotFound, TagNotFound, TimestampOutOfRange, UnsupportedFloat
+from strandline.errors import EmptyValue, LateRecord, NoDataForTag, TableExists, TableNotFound, TagNotFound, TimestampOutOfRange, TypeMismatch, UnsupportedFloat
 from strandline.functions.predicates import Condition
 from strandline.sources.store import Config, Database
 from strandline.streaming.ingest_stream import start_ingest, windowed
@@ -71,7 +71,12 @@ def test_struct_and_adaptive(db):
     db.write_batch("v", [("t", T0 + i * S, {"value": i * 0.5, "name": f"sensor_{i % 100}"}) for i in range(2000)])
     assert db.query_all("v", "t", T0, T0 + 2000 * S).count() == 2000
     assert db.query_all("v", "t", T0, T0 + 2000 * S, Condition("value", ">=", 999.0)).count() == 2
-    assert db.query_latest("v", "t")[0] == T0 + 1999 * S
+    assert db.query_latest("v", "t")[0] == T0 + 1999 * S and db.query_latest_all("v").count() == 1
+    db.create_table("b", ColumnAttribute("value", BOOL))
+    with pytest.raises(TypeMismatch):
+        db.append("b", db.spark.createDataFrame([("t", T0, "perhaps")], "tag string, ts_ns long, value string"))
+    db.append("b", db.spark.createDataFrame([("t", T0, "perhaps"), ("t", T0, "true")], "tag string, ts_ns long, value string"), strict=False)
+    assert db.query_latest("b", "t") == (T0, True)
     assert 1 <= db.query("v", "t", T0, T0 + 7200 * S, 5).count() <= 5
 
 
@@ -94,7 +99,12 @@ def test_expiration(db):
     db.config.expiration_min = 2 * 1440
     assert [r.value for r in db.query_all("i", "a", 0, 2 * T0, now_ns=T0).collect()] == [2, 1, 0]
     assert db.sweep("i", T0) == 2 and db.series("i").count() == 3
+    db.write_batch("i", [("old", T0 - 2 * day, 7)])
     assert db.sweep("i", T0 + 99 * day) == 2 and db.query_latest("i", "a") == (T0, 0)
+    with pytest.raises(NoDataForTag):
+        db.query_latest("i", "old")
+    with pytest.raises(TagNotFound):
+        db.query_latest("i", "never")
 
 
 def test_stream_keeps_what_batch_keeps(spark, tmp_path):
