@@ -287,7 +287,8 @@ def _sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", documents: int = FIT_DOCUMENTS) -> Network:
-    """The network, trained on windows of about ``documents`` documents chosen by a hash of their key.
+    """The network, trained on windows of labelled documents chosen by a hash of their key: of all up to ``documents``, beyond that of
+    at most twice as many on average, with FIT_WINDOWS windows each.
 
     Languages that fewer than LEAST_SHARE of the sampled windows are labelled as are no classes. Without any labelled
     paragraph there is nothing to fit: ValueError.
