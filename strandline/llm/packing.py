@@ -145,7 +145,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     own = Window.partitionBy("n_tokens", "bucket").orderBy("id", "piece_no")
     ranked = (
         pieces.withColumn("own", F.row_number().over(own) - 1)
-        .join(before, ["n_tokens", "bucket"])
+        .join(before.hint("merge"), ["n_tokens", "bucket"])  # both sides are partitioned so already
         .select("id", "piece_no", "start_token", "n_tokens", (F.col("before") + F.col("own")).alias("rank"))
     )
     schema = "id long, piece_no long, start_token long, n_tokens long, container_id long, container_offset long, step_group long"
