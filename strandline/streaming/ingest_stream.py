@@ -7,17 +7,24 @@ the checkpoint; batches are sorted by time per tag before they are judged.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from strandline.operators import ingest
 from strandline.operators.ingest import keep_mask
 from strandline.session import shared_dir, ship
 
+# The process that sets up a stateful operator on the driver doesn't get the files shipped to executors.
+for _module in (sys.modules[__name__], ingest):
+    cloudpickle.register_pickle_by_value(_module)
+
 _STATE = StructType([StructField("last_ts", LongType()), StructField("last_code", LongType())])
 
 
