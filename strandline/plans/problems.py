@@ -40,10 +40,14 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid.regular_series(_readings(spark, d)).where("n = 0").select("tag_key", "slot_ns")
+    return regular_grid.regular_series(_readings(spark, d), within_day=True).where("n = 0").select("tag_key", "slot_ns")
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
+    return regular_grid.regular_series(_readings(spark, d), within_day=True)
+
+
+def p3_series(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_series(_readings(spark, d))
 
 
@@ -72,7 +76,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_found, p5_flags, p6_found, p6_projections, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p3_series, p5_found, p5_flags, p6_found, p6_projections, p6_table)}
 
 _PER_KEY = """
 SELECT {key}, count(*) AS n, min({time}) AS {first}, max({time}) AS {last},
@@ -114,4 +118,14 @@ HAVING attr_code IS NOT NULL AND attr_code <> 0 AND count(*) * 100 >= 3 * (SELEC
 SELECT tag_key, slot_ns, n, CASE WHEN (slot_ns - seen) // step <= 3 THEN seen_v END AS value,
        CASE WHEN n > 0 THEN 'observed' WHEN (slot_ns - seen) // step <= 3 THEN 'filled' ELSE 'missing' END AS state
 FROM f""",
+    "p3_series": _READINGS + """,
+wg AS (SELECT tag_key, step, unnest(range(min(slot_ns), max(slot_ns) + 1, step)) AS slot_ns FROM s GROUP BY tag_key, step),
+wf AS (SELECT wg.tag_key, wg.step, wg.slot_ns, coalesce(s.n, 0) AS n,
+       last_value(CASE WHEN s.n IS NOT NULL THEN wg.slot_ns END IGNORE NULLS) OVER w AS seen,
+       last_value(s.v IGNORE NULLS) OVER w AS seen_v
+  FROM wg LEFT JOIN s USING (tag_key, step, slot_ns)
+  WINDOW w AS (PARTITION BY wg.tag_key ORDER BY wg.slot_ns))
+SELECT tag_key, slot_ns, n, CASE WHEN (slot_ns - seen) // step <= 3 THEN seen_v END AS value,
+       CASE WHEN n > 0 THEN 'observed' WHEN (slot_ns - seen) // step <= 3 THEN 'filled' ELSE 'missing' END AS state
+FROM wf""",
 }

@@ -45,3 +45,26 @@ def test_grid_cases(spark):
     one = 1_609_722_509
     units = spark.createDataFrame([(one,), (one * 1000,), (one * 10**6,), (one * 10**9,)], "t long")
     assert {r[0] for r in units.select(instant_ns(F.col("t"))).collect()} == {one * s}
+
+
+def test_series_spans_days(spark):
+    s, day = 10**9, 86_400 * 10**9
+    hour, week = 3600 * s, 7 * 86_400 * s
+    rows = [(1, 22 * hour, 1.0, 1, hour), (1, 3 * day + 2 * hour, 2.0, 2, hour), (1, 3 * day + 4 * hour, 3.0, 3, hour), (2, 0, 5.0, 4, week), (2, 2 * week, 6.0, 5, week)]
+    rows += [(3, 20 * hour, 7.0, 6, 7 * hour), (3, 2 * day, 8.0, 7, 7 * hour)]  # a period that doesn't divide the day
+    df = spark.createDataFrame(rows, "tag_key long, at_ns long, v double, point_id long, period_ns long")
+    got = [(r.tag_key, r.slot_ns, r.n, r.value, r.state) for r in regular_series(df, 3).orderBy("tag_key", "slot_ns").collect()]
+    seen = {22: 1.0, 74: 2.0, 76: 3.0}
+    want = [(1, k * hour, 1, seen[k], "observed") if k in seen else (1, k * hour, 0, 1.0 if k < 26 else 2.0, "filled") if k < 26 or k == 75 else (1, k * hour, 0, None, "missing") for k in range(22, 77)]
+    want += [(2, 0, 1, 5.0, "observed"), (2, week, 0, 5.0, "filled"), (2, 2 * week, 1, 6.0, "observed")]
+    want += [(3, k * hour, int(k in (14, 42)), 8.0 if k == 42 else 7.0, "observed" if k in (14, 42) else "filled") for k in range(14, 43, 7)]
+    assert got == want
+    assert regular_series(df, 3, within_day=True).count() == 8
+
+
+def test_series_has_more_than_the_days_where_gaps_span_midnight(spark, sf01):
+    from sql import compare
+
+    whole, days = (problems.QUERIES[k](spark, sf01) for k in ("p3_series", "p3_grid"))
+    assert compare(whole, problems.ORACLES["p3_series"], sf01) == days.count() + whole.join(days, ["tag_key", "slot_ns"], "left_anti").count()
+    assert days.join(whole, ["tag_key", "slot_ns", "n", "state"], "left_anti").count() == 0
