@@ -3,9 +3,11 @@
 A source's readings are cut into time chunks, each with the readings just before and after it, so that a source with
 most rows is spread over many tasks. The residual of a reading is its distance from the source's running level (a
 centred median, which follows the daily course and permanent changes of level). Residual magnitudes are summed up in
-mergeable histograms; per source a generalised Pareto tail is fitted to the peaks over a high threshold, and its
-quantile at a fixed risk picks the readings worth a look. Those are confirmed as spikes where at most three in a row
-leave the level by more than nine times the usual scatter and return. Duration and plausibility rules add the rest.
+mergeable histograms. Two results come of them. ``implausible`` goes by fixed rules: readings are spikes where at most three
+in a row leave the level by more than nine times the usual scatter and return; duration and plausibility rules add the
+rest. ``peaks`` is the peaks-over-threshold method: per source a generalised Pareto tail is fitted to the peaks over a high
+threshold, and its quantile at a fixed risk is the cutoff. Neither takes part in the other: a cutoff at a fixed risk lies
+above nine scatters where faults are many, so that selecting by it would lose spikes of the rule.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ class SpikeRules:
     """Parameters of the rules.
 
     ``width_ns``: time span of a chunk. ``half``: readings on either side in the running median. ``threshold``: share of
-    readings below the peaks' threshold. ``risk``: share of readings beyond the fitted cutoff, the candidates.
+    readings below the peaks' threshold. ``risk``: share of readings beyond the fitted cutoff (both of ``peaks`` only).
     ``times``: usual scatters that a spike leaves its level by. ``longest``: readings of a spike at most. ``stuck``: readings
     of a stuck run at least. ``beside``: readings on either side that tell the levels it leaves and returns to. ``still``: largest step of a value that stands still.
     """
@@ -185,11 +187,10 @@ def _run_lengths(on: np.ndarray) -> np.ndarray:
     return out
 
 
-def spike_flags(x: np.ndarray, rules: SpikeRules, scatter: float, cutoff: float) -> np.ndarray:
-    """Candidates beyond the tail cutoff that are confirmed: at most ``longest`` in a row beyond ``times`` scatters, and so
-    on the same side of the levels before and after. A cutoff that many faulty readings have driven beyond the rule's own bound is held to it."""
+def spike_flags(x: np.ndarray, rules: SpikeRules, scatter: float) -> np.ndarray:
+    """At most ``longest`` readings in a row beyond ``times`` scatters, and so on the same side of the levels before and after."""
     r = np.abs(x - running_level(x, rules.half))
-    over = (r >= min(cutoff, rules.times * scatter)) & (r > rules.times * scatter) & (r > rules.still)
+    over = (r > rules.times * scatter) & (r > rules.still)
     length = _run_lengths(over)
     hit = (length > 0) & (length <= rules.longest)
     if len(x):
@@ -219,13 +220,13 @@ def stuck_flags(x: np.ndarray, rules: SpikeRules) -> np.ndarray:
 
 def _flag(rules: SpikeRules):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["tag", "before", "v", "after", "ids", "of", "scatter", "cutoff", "still_share", "phys_min", "phys_max"]
+        names = ["tag", "before", "v", "after", "ids", "of", "scatter", "still_share", "phys_min", "phys_max"]
         for pdf in frames:
             parts = []
-            for tag, before, v, after, ids, of, scatter, cutoff, still, low, high in pdf[names].itertuples(index=False):
+            for tag, before, v, after, ids, of, scatter, still, low, high in pdf[names].itertuples(index=False):
                 x, a, n = _joined(rules.halo, before, v, after)
                 cut = slice(a, a + n)
-                spike = spike_flags(x, rules, scatter, cutoff)[cut]
+                spike = spike_flags(x, rules, scatter)[cut]
                 stuck = stuck_flags(x, rules)[cut] if still < 0.5 else np.zeros(n, dtype=bool)
                 own = x[cut]
                 out = np.zeros(n, dtype=bool)
@@ -244,22 +245,24 @@ def _flag(rules: SpikeRules):
     return run
 
 
-def implausible(
-    df: DataFrame,
-    bounds: DataFrame,
-    tag: str = "tag",
-    time: str = "ts_ns",
-    value: str = "val",
-    row: str = "row_id",
-    rules: SpikeRules = SpikeRules(),
-) -> DataFrame:
-    """(``row_id``, ``tag``, ``impossible``, ``stuck``, ``spike``) of every row with at least one flag.
+def _beyond(rules: SpikeRules):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts = []
+            for tag, before, v, after, ids, of, cutoff in pdf[["tag", "before", "v", "after", "ids", "of", "cutoff"]].itertuples(index=False):
+                x, a, n = _joined(rules.halo, before, v, after)
+                size = np.abs(x - running_level(x, rules.half))[a : a + n][np.frombuffer(of, dtype=np.int32)]
+                hit = size > cutoff
+                if hit.any():
+                    parts.append(pd.DataFrame({"row_id": np.frombuffer(ids, dtype=np.int64)[hit], "tag": tag, "residual": size[hit], "cutoff": cutoff}))
+            if parts:
+                yield pd.concat(parts)
 
-    ``bounds`` has ``tag``, ``phys_min``, ``phys_max``; null bounds, and tags that aren't in it, are unbounded. Rows with null tag, time or
-    value, and NaN values, are left out; infinite values take part as very large ones. Rows of one tag and time are one
-    reading, that of the smallest row id; all of them get its flags. A departure at the very start or end of a
-    source isn't a spike, since it doesn't leave or doesn't return. Empty input gives no rows.
-    """
+    return run
+
+
+def _fitted(df: DataFrame, tag: str, time: str, value: str, row: str, rules: SpikeRules) -> tuple[DataFrame, DataFrame]:
+    """Chunks with the readings beside them; per source the count, scatter, cutoff and share of steps that stand still."""
     packed = "tag string, bucket long, v binary, ids binary, of binary, head binary, tail binary"
     chunks = materialize(_chunks(df, tag, time, value, row, rules).mapInPandas(_pack(rules), packed), "chunks")
     order = Window.partitionBy("tag").orderBy("bucket")
@@ -279,8 +282,40 @@ def implausible(
     )
     # a source's histogram has at most some 60,000 bins, however many readings it sums up
     fits = sums.groupBy("tag").applyInPandas(_fit(rules), "tag string, n double, scatter double, cutoff double, still_share double")
+    return full, fits
+
+
+def implausible(
+    df: DataFrame,
+    bounds: DataFrame,
+    tag: str = "tag",
+    time: str = "ts_ns",
+    value: str = "val",
+    row: str = "row_id",
+    rules: SpikeRules = SpikeRules(),
+) -> DataFrame:
+    """(``row_id``, ``tag``, ``impossible``, ``stuck``, ``spike``) of every row with at least one flag.
+
+    ``bounds`` has ``tag``, ``phys_min``, ``phys_max``; null bounds, and tags that aren't in it, are unbounded. Rows with null tag, time or
+    value, and NaN values, are left out; infinite values take part as very large ones. Rows of one tag and time are one
+    reading, that of the smallest row id; all of them get its flags. A departure at the very start or end of a
+    source isn't a spike, since it doesn't leave or doesn't return. Empty input gives no rows.
+    """
+    full, fits = _fitted(df, tag, time, value, row, rules)
     limits = bounds.where("tag is not null").groupBy("tag").agg(F.min("phys_min").alias("phys_min"), F.max("phys_max").alias("phys_max"))
     stats = fits.join(limits, "tag", "left")
     return full.join(stats, "tag").mapInPandas(
         _flag(rules), "row_id long, tag string, impossible boolean, stuck boolean, spike boolean"
     )
+
+
+def peaks(
+    df: DataFrame, tag: str = "tag", time: str = "ts_ns", value: str = "val", row: str = "row_id", rules: SpikeRules = SpikeRules()
+) -> DataFrame:
+    """(``row_id``, ``tag``, ``residual``, ``cutoff``) of every row farther from its source's running level than the cutoff fitted for it.
+
+    That is about a share ``risk`` of the rows of a source, whether faulty or not. The same rows are left out and taken for one reading as
+    by ``implausible``. Empty input gives no rows.
+    """
+    full, fits = _fitted(df, tag, time, value, row, rules)
+    return full.join(fits.select("tag", "cutoff"), "tag").mapInPandas(_beyond(rules), "row_id long, tag string, residual double, cutoff double")

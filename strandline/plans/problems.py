@@ -63,6 +63,10 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d)
 
 
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.peaks(load(spark, d, "tag_points"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(load(spark, d, "schema_files"), load(spark, d, "raw_records")).drop("tbl_name", "written_ns")
 
@@ -76,7 +80,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p3_series, p5_found, p5_flags, p6_found, p6_projections, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p3_series, p5_found, p5_flags, p5_method, p6_found, p6_projections, p6_table)}
 
 _PER_KEY = """
 SELECT {key}, count(*) AS n, min({time}) AS {first}, max({time}) AS {last},

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from strandline.operators.spikes import SpikeRules, implausible, tail_cutoff
+from strandline.operators.spikes import SpikeRules, implausible, peaks, running_level, tail_cutoff
 from strandline.plans import problems
 
 SCHEMA = "row_id long, tag string, ts_ns long, val double, phys_min string"
@@ -74,3 +74,43 @@ def test_tail_cutoff_of_an_exponential_tail():
     cut = tail_cutoff(x, np.ones(len(x)), 0.9, 0.001)
     assert abs(cut - np.log(1000)) < 0.3
     assert tail_cutoff(np.zeros(1), np.zeros(1), 0.9, 0.05) == 0.0
+
+
+def test_method_flags_by_the_fitted_cutoff(spark, sf01):
+    d = spark.read.parquet(f"{sf01}/tag_points.parquet").toPandas()
+    d = d[d.tag.notna() & d.val.notna()].sort_values(["ts_ns", "row_id"])
+    got = problems.p5_method(spark, sf01).toPandas().set_index("row_id")
+    assert got.index.is_unique and len(got)
+    rules, n, want = SpikeRules(), 0, 0
+    for tag, rows in d.groupby("tag"):
+        x = rows.drop_duplicates("ts_ns")
+        v = x.val.clip(-1e150, 1e150).to_numpy()
+        r = pd.Series(np.abs(v - running_level(v, rules.half)), index=x.ts_ns)
+        size = rows.ts_ns.map(r).to_numpy()
+        mine = got[got.tag == tag]
+        exact = tail_cutoff(np.sort(r.to_numpy()), np.ones(len(r)), rules.threshold, rules.risk)
+        cutoff = mine.cutoff.iloc[0] if len(mine) else exact
+        assert abs(cutoff - exact) <= 0.1 * exact, (tag, cutoff, exact)
+        if len(mine):
+            assert mine.cutoff.nunique() == 1 and set(mine.index) == set(rows.row_id[size > cutoff]), tag
+        else:
+            assert not (size > 1.1 * exact).any()
+        n, want = n + len(rows), want + rules.risk * len(rows)
+    assert 0.7 * want < len(got) < 1.3 * want
+
+
+def test_method_goes_by_risk(spark):
+    v = np.random.default_rng(3).laplace(10, 1, 40_000)
+    df = spark.createDataFrame([(i, "a", i * 60_000_000_000, float(x)) for i, x in enumerate(v)], "row_id long, tag string, ts_ns long, val double")
+    share = {q: peaks(df, rules=SpikeRules(risk=q)).count() / len(v) for q in (0.05, 0.005)}
+    assert all(0.5 * q < k < 2 * q for q, k in share.items()), share
+    assert peaks(df.limit(0)).count() == 0
+
+
+def test_rule_and_method_differ_where_faults_are_many(spark):
+    v = np.random.default_rng(4).normal(10, 1, 3000)
+    v[20:2980:12] += np.linspace(30, 90, len(v[20:2980:12]))  # 8 % of the readings, more than the risk
+    df = spark.createDataFrame([(i, "a", i * 60_000_000_000, float(x)) for i, x in enumerate(v)], "row_id long, tag string, ts_ns long, val double")
+    bounds = spark.createDataFrame([], "tag string, phys_min double, phys_max double")
+    spiky, beyond = {r.row_id for r in implausible(df, bounds).where("spike").collect()}, {r.row_id for r in peaks(df).collect()}
+    assert spiky == set(range(20, 2980, 12)) and beyond < spiky and len(beyond) < 0.07 * len(v)
