@@ -86,22 +86,29 @@ def _thin(min_interval: int, dedup: int):
             for a, z in zip([0, *edges], [*edges, len(pdf)]):
                 if tags[a] != tag:
                     tag, last = tags[a], None
+                    if "_last_ts" in pdf and not pd.isna(pdf["_last_ts"].iat[a]):
+                        last = int(pdf["_last_ts"].iat[a]), int(pdf["_last_v"].iat[a])
                 keep[a:z], last = keep_mask(pdf.ts_ns.to_numpy()[a:z], values[a:z], min_interval, dedup, last)
-            yield pdf[keep].drop(columns="_v")
+            yield pdf[keep].drop(columns=["_v", "_last_ts", "_last_v"], errors="ignore")
 
     return run
 
 
-def thin(df: DataFrame, min_interval_ns: int = 0, dedup_ns: int = 0, value: str = "value", order: str | None = None) -> DataFrame:
+def thin(df: DataFrame, min_interval_ns: int = 0, dedup_ns: int = 0, value: str = "value", order: str | None = None, last: DataFrame | None = None) -> DataFrame:
     """Minimum-interval thinning and value deduplication against the last *kept* point of the tag.
 
     In order of time (ties: ``order``): the first point is kept; one closer than the interval (<) to the last kept is dropped;
     one within the window (<=) whose value equals the last kept value is dropped. Each tag is one sorted stream
     with two numbers of state; nothing is gathered. Values are compared by a 64-bit hash. Null tags and times are left out.
+    ``last`` (tag, ts_ns, ``value``) has the points that were kept before, one per tag: the first point of such a tag is judged against it.
     """
     rows = df.where("tag is not null and ts_ns is not null").withColumn("_v", F.xxhash64(value))
+    if last is not None:
+        # strings carry the two 64-bit numbers through pandas, where a null would make them doubles
+        known = last.select("tag", F.col("ts_ns").cast("string").alias("_last_ts"), F.xxhash64(value).cast("string").alias("_last_v"))
+        rows = rows.join(known, "tag", "left")
     streams = rows.repartition("tag").sortWithinPartitions("tag", "ts_ns", *([order] if order else []))
-    return streams.mapInPandas(_thin(min_interval_ns, dedup_ns), df.schema)
+    return streams.select(*df.columns, "_v", *(["_last_ts", "_last_v"] if last is not None else [])).mapInPandas(_thin(min_interval_ns, dedup_ns), df.schema)
 
 
 def reorder(df: DataFrame) -> DataFrame:

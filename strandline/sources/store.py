@@ -117,7 +117,11 @@ class Database:
         return self.spark.createDataFrame(rows, T.StructType([T.StructField("tag", T.StringType()), T.StructField("ts_ns", T.LongType()), T.StructField("value", kind)]))
 
     def prepare(self, table: str, df: DataFrame, now_ns: int | None = None, strict: bool = True) -> DataFrame:
-        """The rows of ``df`` (tag, ts_ns, value) that are to be stored: guarded, cast, quantised, thinned, with their day."""
+        """The rows of ``df`` (tag, ts_ns, value) that are to be stored: guarded, cast, quantised, thinned, with their day.
+
+        Rows older than their tag's newest stored point are late and left out; thinning starts from that point. Within ``df`` none is
+        late, since it is sorted by time. A point of an earlier batch counts as long as retention keeps it.
+        """
         info = self._for_writing(table)
         c = self.config
         rows = ingest.guards(df.select("tag", "ts_ns", "value"), self._now(now_ns), c.max_ahead_s * 1_000_000_000, strict=strict)
@@ -133,9 +137,15 @@ class Database:
             rows = rows.withColumn("value", _shape(F.col("value"), rows.schema["value"].dataType, kind))
         if info.column.type == FLOAT:
             rows = ingest.quantized(rows, info.column.float_precision)
+        fs, p = self.catalog._fs(info.name)
+        stored = self.series(info.name) if fs.exists(p) else None
         if c.dedup_ms or c.min_interval_ms:
-            hashed = rows.withColumn("_h", F.xxhash64(F.to_json("value") if isinstance(kind, T.VariantType) else F.col("value")))
-            rows = ingest.thin(hashed, c.min_interval_ms * 1_000_000, c.dedup_ms * 1_000_000, "_h").drop("_h")
+            hashed = lambda x: x.withColumn("_h", F.xxhash64(F.to_json("value") if isinstance(kind, T.VariantType) else F.col("value")))
+            last = None if stored is None else hashed(reads.latest(stored, "seq"))
+            rows = ingest.thin(hashed(rows), c.min_interval_ms * 1_000_000, c.dedup_ms * 1_000_000, "_h", last=last).drop("_h")
+        elif stored is not None:
+            newest = stored.groupBy("tag").agg(F.max("ts_ns").alias("_newest"))
+            rows = rows.join(newest, "tag", "left").where("_newest is null or ts_ns >= _newest").drop("_newest")
         return rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("day", F.floor(F.col("ts_ns") / F.lit(DAY_NS)))
 
     def append(self, table: str, df: DataFrame, now_ns: int | None = None, strict: bool = True) -> None:

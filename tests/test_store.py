@@ -129,3 +129,22 @@ def test_stream_keeps_what_batch_keeps(spark, tmp_path):
     q = windowed(stream).writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.n for r in spark.table("win").collect()) == 300
+
+
+def test_batches_are_judged_against_stored_points(spark, db):
+    schema = "tag string, ts_ns long, value double"
+    seen = lambda name, tag="a": [(r.ts_ns - T0) // S for r in db.query_all(name, tag, 0, 2 * T0).collect()]
+    for name in ("late", "close", "same", "json"):
+        db.create_table(name, ColumnAttribute("value", UNKNOWN if name == "json" else FLOAT, float_precision=2))
+    db.write_batch("late", [("a", T0 + 10 * S, 1.0), ("a", T0, 1.0)])
+    assert db.write_batch("late", [("a", T0 + 9 * S, 2.0), ("a", T0 + 10 * S, 3.0), ("a", T0 + 12 * S, 4.0), ("b", T0, 1.0)]) == 3
+    db.append("late", spark.createDataFrame([("a", T0 + 11 * S, 5.0), ("a", T0 + 13 * S, 6.0), ("c", T0, 7.0)], schema))
+    assert seen("late") == [0, 10, 10, 12, 13] and seen("late", "b") == seen("late", "c") == [0]
+    db.config.min_interval_ms = 10_000
+    for at in (0, 9, 10, 19, 5, 21):
+        db.append("close", spark.createDataFrame([("a", T0 + at * S, float(at))], schema))
+    assert seen("close") == [0, 10, 21]
+    db.config.min_interval_ms, db.config.dedup_ms = 0, 10_000
+    for name, value in (("same", float), ("json", lambda x: {"x": x})):
+        kept = [db.write_batch(name, [("a", T0 + at * S, value(x)), ("new", T0 + at * S, value(at))]) for at, x in ((0, 1), (9, 1), (10, 1), (11, 1), (12, 2), (5, 3), (22, 2), (23, 2))]
+        assert kept == [2, 1, 1, 2, 2, 0, 1, 2] and seen(name) == [0, 11, 12, 23]
