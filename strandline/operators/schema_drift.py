@@ -15,7 +15,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -28,8 +28,6 @@ TYPE_CODES = {1: "int", 2: "float", 3: "string", 4: "bool"}
 ADAPTIVE_TYPES = {"int64": "int", "uint64": "int", "float64": "float", "string": "string", "bool": "bool"}
 #: Cost of adding or deleting a leaf. A rename must cost less than one of each.
 EDIT = 1.0
-#: Kept shapes of strings per field and file: those of the smallest checksums, so that any split of the records gives the same.
-SHAPES = 24
 _UNLIKE = 9.0
 
 
@@ -78,11 +76,12 @@ def flatten(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
 def shape_of(text: str) -> str:
     """A string with digits as 9; with capitals as A too if it has digits."""
     out = re.sub(r"\d", "9", text.strip())
-    return (re.sub(r"[A-Z]", "A", out) if out != text.strip() else out.lower())[:40]
+    return re.sub(r"[A-Z]", "A", out) if out != text.strip() else out.lower()
 
 
-def _smallest(shapes) -> list[str]:
-    return sorted(set(shapes), key=lambda s: (crc32(s.encode()), s))[:SHAPES]
+def shape_code(shape: str) -> int:
+    """64-bit hash of a whole shape; a field's set of shapes is kept whole, as such codes."""
+    return int.from_bytes(blake2b(shape.encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 _STATS = ["n_null", "n_bool", "n_true", "n_int", "n_frac", "n_str", "s1", "s2"]
@@ -117,20 +116,18 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         a[7] += x * x
                 elif isinstance(v, str):
                     a[5] += 1
-                    a[8].add(shape_of(v))
-        yield pd.DataFrame([(f, p, *a[:8], _smallest(a[8])) for (f, p), a in acc.items()], columns=["file_id", "path", *_STATS, "shapes"])
+                    a[8].add(shape_code(shape_of(v)))
+        yield pd.DataFrame([(f, p, *a[:8], sorted(a[8])) for (f, p), a in acc.items()], columns=["file_id", "path", *_STATS, "shapes"])
 
 
 def members(records: DataFrame) -> DataFrame:
     """(file_id, path, counts by kind, sums, shapes) of the values in the records; payloads that can't be parsed give none."""
     part = spread(records.where("file_id is not null and payload is not null").select("file_id", "payload")).mapInPandas(
         _members,
-        "file_id long, path string, n_null long, n_bool long, n_true long, n_int long, n_frac long, n_str long, s1 double, s2 double, shapes array<string>",
+        "file_id long, path string, n_null long, n_bool long, n_true long, n_int long, n_frac long, n_str long, s1 double, s2 double, shapes array<bigint>",
     )
     each = [F.sum(c).alias(c) for c in _STATS]
-    # the smallest checksums of the union are among those of the parts
-    few = F.slice(F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("shapes")), lambda s: F.struct(F.crc32(s.cast("binary")).alias("c"), s.alias("s"))))), 1, SHAPES)
-    return part.groupBy("file_id", "path").agg(*each, F.transform(few, lambda x: x["s"]).alias("shapes"))
+    return part.groupBy("file_id", "path").agg(*each, F.array_sort(F.array_distinct(F.flatten(F.collect_set("shapes")))).alias("shapes"))
 
 
 def _kind() -> F.Column:

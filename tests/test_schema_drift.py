@@ -58,6 +58,15 @@ def test_each_kind_of_change(spark):
     assert sd.changes(f.limit(0), r.limit(0)).count() == 0 and sd.consistent_table(f, r.limit(0)).count() == 0
 
 
+def test_many_distinct_texts_and_long_ones(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    files = [(i, "t", i, 0, None, [p], ["string"]) for i, p in ((1, "from_whom"), (2, "sender_q"))] + [(i, "u", i, 0, None, [p], ["string"]) for i, p in ((3, "aa"), (4, "zz"))]
+    records = [(1, json.dumps({"from_whom": name(i)})) for i in range(3000)] + [(2, json.dumps({"sender_q": name(i)})) for i in range(1500, 1505)]
+    records += [(f, json.dumps({p: "x" * 40 + c * 3})) for f, p, c in ((3, "aa", "k"), (4, "zz", "w"))]
+    _, _, got = run(spark, files, records)
+    assert got == [(2, "renamed", "from_whom", "sender_q"), (4, "added", "", "zz"), (4, "removed", "aa", "")]
+
+
 def leaf(path, kind="float", quantity=None, values=(), shapes=()):
     n = len(values)
     return {"path": path, "type": kind, "quantity": quantity, "n_null": 0, "n_bool": 0, "n_true": 0, "n_int": 0, "n_frac": n, "n_str": 0, "s1": sum(values), "s2": sum(v * v for v in values), "shapes": list(shapes)}
