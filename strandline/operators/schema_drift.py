@@ -382,10 +382,12 @@ def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
     """(record_id, file_id, tbl_name, readable, fields): every record under the field names of its table's consistent schema.
 
     ``fields`` maps a field to its value as text; null and absent fields, and keys that the file's schema doesn't have, are
-    left out. A payload that can't be parsed stays as a row with ``readable`` false. Repeated records stay.
+    left out. A payload that can't be parsed stays as a row with ``readable`` false. Repeated records stay. Records of a file without
+    fields, without table name or not in ``files`` have no ``fields``; only those without a file id are left out.
     """
-    mapping = projections(files, records).groupBy("file_id", "tbl_name").agg(F.collect_list(F.struct("path", "field")).alias("mapping"))
-    rows = records.where("file_id is not null").select("record_id", "file_id", "payload").join(mapping, "file_id")
+    mapping = projections(files, records).groupBy("file_id").agg(F.collect_list(F.struct("path", "field")).alias("mapping"))
+    names = files.where("file_id is not null").select("file_id", "tbl_name")
+    rows = records.where("file_id is not null").select("record_id", "file_id", "payload").join(names, "file_id", "left").join(mapping, "file_id", "left")
     return rows.select("record_id", "file_id", "tbl_name", "payload", "mapping").mapInPandas(
         _texts, "record_id long, file_id long, tbl_name string, readable boolean, fields map<string,string>"
     )

@@ -67,6 +67,13 @@ def test_many_distinct_texts_and_long_ones(spark):
     assert got == [(2, "renamed", "from_whom", "sender_q"), (4, "added", "", "zz"), (4, "removed", "aa", "")]
 
 
+def test_table_keeps_records_of_files_without_fields(spark):
+    files = [(1, "t", 1, 6, "{cut", None, None), (2, None, 2, 0, None, ["a"], ["int64"]), (3, "t", 3, 0, None, ["a"], ["int64"])]
+    f, r, _ = run(spark, files, [(1, '{"a": 1}'), (2, '{"a": 2}'), (77, '{"a": 3}'), (3, '{"a": 4}'), (1, "{cut"), (None, "{}")])
+    got = {x.record_id: (x.tbl_name, x.readable, x.fields) for x in sd.consistent_table(f, r).collect()}
+    assert got == {0: ("t", True, {}), 1: (None, True, {}), 2: (None, True, {}), 3: ("t", True, {"a": "4"}), 4: ("t", False, {})}
+
+
 def leaf(path, kind="float", quantity=None, values=(), shapes=()):
     n = len(values)
     return {"path": path, "type": kind, "quantity": quantity, "n_null": 0, "n_bool": 0, "n_true": 0, "n_int": 0, "n_frac": n, "n_str": 0, "s1": sum(values), "s2": sum(v * v for v in values), "shapes": list(shapes)}
