@@ -148,8 +148,8 @@ _add("filter_json_prefix", _json_filter(Condition("k.deep.er", "<=", 10)), _JSON
 
 def list_values(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
-    s = as_series(e, F.col("label"), F.col("vec_id"), F.slice("embedding", 1, 1), "vec_id")
-    first = e.where("vec_id = 1").select(F.slice("embedding", 1, 1).alias("x")).first()
+    s = as_series(e, F.col("label"), F.col("vec_id"), F.col("embedding"), "vec_id")
+    first = e.where("vec_id = 1").select(F.col("embedding").alias("x")).first()
     return reads.range_scan(s, predicate=Condition("", "!=", list(first["x"]) if first else [0.0])).select("vec_id", "tag")
 
 
