@@ -40,49 +40,60 @@ class ColumnAttribute:
 
 @dataclass
 class TableInfo:
+    """``version``: the folder that the table's data are in, ``swept_day``: the first day that retention has left (None: all)."""
+
     name: str
     column: ColumnAttribute = field(default_factory=ColumnAttribute)
+    version: int = 0
+    swept_day: int | None = None
 
 
 class Catalog:
-    """The tables of one database folder. The file is written to a side name and renamed, so a reader sees the old or the new list."""
+    """The tables of one database folder. The list is written to a side name, which then replaces it in one rename, so that a reader, or a
+    start after a crash, sees the old or the new list. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.tables: dict[str, TableInfo] = {}
-        self._load()
+        self.load()
 
     def _fs(self, name: str):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _load(self) -> None:
+    def load(self) -> None:
+        """Read the list as it is now: another session may have made tables or compacted some."""
         fs, p = self._fs("tables.json")
         if not fs.exists(p):
             return
-        text = "\n".join(r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect())
-        self.tables = {d["name"]: TableInfo(d["name"], ColumnAttribute.from_dict(d["column"])) for d in json.loads(text)}
-
-    def _store(self) -> None:
-        fs, p = self._fs("tables.json")
-        _, side = self._fs("tables.json.new")
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        self.tables = {d["name"]: TableInfo(d["name"], ColumnAttribute.from_dict(d["column"]), d.get("version", 0), d.get("swept_day")) for d in json.loads(text)}
+
+    def store(self) -> None:
+        _, p = self._fs("tables.json")
+        fs, side = self._fs("tables.json.new")
         out = fs.create(side, True)
         out.write(bytearray(json.dumps([asdict(t) for t in self.tables.values()]), "utf-8"))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(side, p):
-            raise OSError(f"cannot write {p}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = getattr(hadoop, "Options$Rename")
+        replace = self.spark._sc._gateway.new_array(how, 1)
+        replace[0] = how.OVERWRITE
+        hadoop.FileContext.getFileContext(side.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(side), fs.makeQualified(p), replace)
 
     def create(self, table: TableInfo) -> TableInfo:
         if table.name in self.tables:
             raise TableExists(table.name)
-        if table.column.type == FLOAT:
+        if table.column.type in (FLOAT, UNKNOWN):
             table.column.float_precision = effective_precision(table.column.float_precision)
         table.column.spark_type()
         self.tables[table.name] = table
-        self._store()
+        self.store()
         return table
 
     def get(self, name: str) -> TableInfo:
@@ -92,4 +103,6 @@ class Catalog:
         return self.tables[name]
 
     def folder(self, name: str) -> str:
-        return f"{self.path}/{name or DEFAULT_TABLE}"
+        """The folder of a table's present version."""
+        info = self.get(name)
+        return f"{self.path}/{info.name}/v{info.version}"

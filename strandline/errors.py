@@ -13,6 +13,10 @@ class TableExists(EngineError):
     """A table of that name exists already."""
 
 
+class DatabaseClosed(EngineError):
+    """The database was closed."""
+
+
 class TagNotFound(EngineError):
     """The tag was never written to the table."""
 

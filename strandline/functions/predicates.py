@@ -116,10 +116,13 @@ class _Leaf:
         if path is None or (not condition.path and isinstance(at, T.StructType)):
             self.missing, self.holds = F.lit(True), F.lit(False)
             return
-        if isinstance(at, (T.StructType, T.MapType)) or isinstance(value, dict):
+        if isinstance(at, (T.StructType, T.MapType)):
             self.holds = F.lit(False)
             return
         got = F.col(".".join([name, *(f"`{p}`" for p in path.split("."))]) if path else name)
+        if isinstance(value, dict):
+            self.holds = got.isNotNull() if condition.op == "!=" else F.lit(False)
+            return
         self.holds = _compare(got, at, condition.op, value)
 
     def _variant(self, condition: Condition, column: Column) -> None:
@@ -129,37 +132,39 @@ class _Leaf:
         paths = ["$"]
         for p in parts:
             paths.append(f"{paths[-1]}['{p}']")
-        target = paths[-1]
-        if isinstance(value, (dict, list, tuple)):
-            if isinstance(value, dict):
-                self.holds = F.lit(False)
-            else:
-                item = "string" if value and isinstance(value[0], str) else "double"
-                got = F.try_variant_get(column, target, f"array<{item}>")
-                self.holds = OPERATORS[op](got, _literal(list(value)).cast(f"array<{item}>"))
-            return
         # the first scalar on the way is compared; deepest first, since a scalar has no members
-        got = F.coalesce(*[F.try_variant_get(column, p, kind) for p in reversed(paths)])
         kinds = [F.schema_of_variant(F.try_variant_get(column, p, "variant")) for p in reversed(paths)]
         met = F.coalesce(*kinds)
-        # text that looks like a number is no number, and a number is no text
-        got = F.when((met == "STRING") if kind == "string" else (met != "STRING"), got)
-        self.missing = met.startswith("OBJECT") & (kinds[0].isNull() if parts else F.lit(True))
-        self.holds = OPERATORS[op](got, F.lit(value))
+        if isinstance(value, dict):
+            got = F.lit(None).cast("double")
+            self.holds = F.lit(False)
+        elif isinstance(value, (list, tuple)):
+            item = "string" if value and isinstance(value[0], str) else "double"
+            got = F.try_variant_get(column, paths[-1], f"array<{item}>")
+            self.holds = OPERATORS[op](got, _literal(list(value)).cast(f"array<{item}>"))
+        else:
+            got = F.coalesce(*[F.try_variant_get(column, p, kind) for p in reversed(paths)])
+            # text that looks like a number is no number, and a number is no text
+            got = F.when((met == "STRING") if kind == "string" else (met != "STRING"), got)
+            self.missing = met.startswith("OBJECT") & (kinds[0].isNull() if parts else F.lit(True))
+            self.holds = OPERATORS[op](got, F.lit(value))
+        if op == "!=":  # of another kind: unequal, if it is there and no map
+            self.holds = F.when(got.isNull(), met.isNotNull() & ~met.startswith("OBJECT") & (met != "VOID")).otherwise(self.holds)
 
 
 def _compare(got: Column, kind: T.DataType, op: str, value: Any) -> Column:
+    other = got.isNotNull() if op == "!=" else F.lit(False)  # of another kind: unequal, if it is there
     if isinstance(kind, T.StringType):
         if op not in EQUALITY:
             raise InvalidPredicate(f"operator {op!r} is not defined for strings")
-        return OPERATORS[op](got, F.lit(value)) if isinstance(value, str) else F.lit(op == "!=")
+        return OPERATORS[op](got, F.lit(value)) if isinstance(value, str) else other
     if isinstance(kind, T.ArrayType):
         if op not in EQUALITY:
             raise InvalidPredicate(f"operator {op!r} is not defined for lists")
-        return OPERATORS[op](got, _literal(value).cast(kind)) if isinstance(value, (list, tuple)) else F.lit(op == "!=")
+        return OPERATORS[op](got, _literal(value).cast(kind)) if isinstance(value, (list, tuple)) else other
     if _numeric(kind):
         if not isinstance(value, (bool, int, float)):
-            return F.lit(op == "!=")
+            return other
         if isinstance(kind, T.BooleanType) != isinstance(value, bool):
             return OPERATORS[op](got.cast("double"), F.lit(float(value)))
         return OPERATORS[op](got, F.lit(value))
@@ -169,7 +174,7 @@ def _compare(got: Column, kind: T.DataType, op: str, value: Any) -> Column:
 def build(tree: Any, column: str, kind: T.DataType, strict: bool = False) -> Column:
     """The predicate over ``column`` of type ``kind`` as a boolean expression; None is always true.
 
-    Lenient: a null or missing value doesn't match. Strict: missing paths raise when they are met, from left to right, so that a
+    Lenient: a null or missing value doesn't match, whatever the operator; a value of another kind than the constant is unequal to it. Strict: missing paths raise when they are met, from left to right, so that a
     false before them in a conjunction, or a true in a disjunction, hides them. A path that a declared struct lacks
     raises ColumnNotFound at once in strict mode.
     """

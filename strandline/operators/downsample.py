@@ -68,20 +68,12 @@ class SeriesFold:
         return tt[:-1], tv[:-1]
 
     def _aggregate(self, ts, v, begin, stop, tt, tv, c) -> None:
-        """All windows side by side: their first points, then their second points, and so on."""
-        size, numeric = stop - begin, ~np.isnan(tv)
-        for j in range(int(size.max())):
-            live = np.flatnonzero((size > j) & numeric)
-            x, t = v[begin[live] + j], ts[begin[live] + j]
-            ok = ~np.isnan(x)
-            live, x, t = live[ok], x[ok], t[ok]
-            if self.mode == "avg":
-                c[live] += 1
-                tt[live] += (t - tt[live]) // c[live]
-                tv[live] += (x - tv[live]) / c[live]
-            else:
-                better = x < tv[live] if self.mode == "min" else x > tv[live]
-                tt[live[better]], tv[live[better]] = t[better], x[better]
+        size, live = stop - begin, ~np.isnan(tv)
+        live &= size > 0
+        if self.mode == "avg":
+            _means(ts, v, begin, size, live, tt, tv, c)
+        elif live.any():
+            _extremes(ts, v if self.mode == "min" else -v, begin, stop, live, tt, tv, 1 if self.mode == "min" else -1)
 
     def close(self) -> tuple[np.ndarray, np.ndarray]:
         """The window left open."""
@@ -89,6 +81,54 @@ class SeriesFold:
         return np.array([self.state[0]] * some, dtype=np.int64), np.array([self.state[1]] * some, dtype=np.float64)
 
 
+#: Points per window on average from which a window's means are run through one after the other.
+SIDE_BY_SIDE = 40
+
+
+def _means(ts, v, begin, size, live, tt, tv, c) -> None:
+    """Running means of the windows, each in the order of its points, since the order decides the last bits.
+
+    Many short windows go side by side: first their first points, then their second ones, and so on. Long ones go one by one.
+    """
+    if size[live].sum() < SIDE_BY_SIDE * max(int(size[live].max(initial=0)), 1) or len(size) == 1:
+        for i in np.flatnonzero(live):
+            a, z = begin[i], begin[i] + size[i]
+            x = v[a:z]
+            ok = ~np.isnan(x)
+            n, mean, at = int(c[i]), float(tv[i]), int(tt[i])
+            for y, t in zip(x[ok].tolist(), ts[a:z][ok].tolist()):
+                n += 1
+                at += (t - at) // n
+                mean += (y - mean) / n
+            c[i], tv[i], tt[i] = n, mean, at
+        return
+    for j in range(int(size[live].max(initial=0))):
+        on = np.flatnonzero((size > j) & live)
+        x, t = v[begin[on] + j], ts[begin[on] + j]
+        ok = ~np.isnan(x)
+        on, x, t = on[ok], x[ok], t[ok]
+        c[on] += 1
+        tt[on] += (t - tt[on]) // c[on]
+        tv[on] += (x - tv[on]) / c[on]
+
+
+def _extremes(ts, x, begin, stop, live, tt, tv, sign) -> None:
+    """The least of each window, with the time of the first such point, where it is below what the window has."""
+    on = np.flatnonzero(live)
+    padded = np.append(np.where(np.isnan(x), np.inf, x), np.inf)
+    least = np.minimum.reduceat(padded, np.stack([begin[on], stop[on]], axis=1).ravel())[::2]
+    better = least < sign * tv[on]
+    on, least = on[better], least[better]
+    if not len(on):
+        return
+    size = stop[on] - begin[on]
+    window = np.repeat(np.arange(len(on)), size)
+    at = np.arange(size.sum()) + np.repeat(begin[on] - np.cumsum(size) + size, size)
+    hits = np.flatnonzero(padded[at] == least[window])
+    _, first = np.unique(window[hits], return_index=True)
+    tt[on], tv[on] = ts[at[hits[first]]], sign * least
+
+
 def fold(ts: np.ndarray, v: np.ndarray, end: int, budget: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
     """(times, values) of the windows of one whole series."""
     f = SeriesFold(end, budget, mode)
@@ -127,11 +167,12 @@ def downsample(
     end: int | None = None,
     where=None,
     order: str | None = None,
+    newest: DataFrame | None = None,
 ) -> DataFrame:
     """(tag, ts_ns, value): every series of ``series`` (tag, ts_ns, value, and ``order`` to break ties) within the budget.
 
     ``start`` and ``end`` are inclusive. The span is cut at the tag's newest point, taken before range and predicate, as the
-    windows' widths depend on it. ``where`` is a boolean Column or SQL text. ``budget`` 0 is DEFAULT_BUDGET, negative raises. Null tags
+    windows' widths depend on it; ``newest`` (tag, until) has it for all tags if it is known, and saves a pass over the series. ``where`` is a boolean Column or SQL text. ``budget`` 0 is DEFAULT_BUDGET, negative raises. Null tags
     and times are left out; a null or NaN value is no number. Empty input gives no rows.
     """
     if budget < 0:
@@ -140,7 +181,8 @@ def downsample(
         raise ValueError(f"mode must be one of {MODES}")
     budget = budget or DEFAULT_BUDGET
     rows = series.where("tag is not null and ts_ns is not null")
-    newest = rows.groupBy("tag").agg(F.max("ts_ns").alias("until"))
+    if newest is None:
+        newest = rows.groupBy("tag").agg(F.max("ts_ns").alias("until"))
     if end is not None:
         newest = newest.withColumn("until", F.least("until", F.lit(end).cast("long")))
         rows = rows.where(F.col("ts_ns") <= end)
@@ -153,12 +195,47 @@ def downsample(
     return joined.select("tag", "ts_ns", "value", "until").mapInPandas(_streams(budget, mode), "tag string, ts_ns long, value double")
 
 
-def downsample_first(series: DataFrame, budget: int = 0, order: str | None = None) -> DataFrame:
+def downsample_first(
+    series: DataFrame, budget: int = 0, order: str | None = None, start: int | None = None, end: int | None = None, where=None, newest: DataFrame | None = None
+) -> DataFrame:
     """The first row of each window, with all columns: what downsampling does to values that are no numbers.
 
     Ties of (tag, ts_ns) without ``order`` give one of the rows. Only keys go through the window chain; the rows are joined to it."""
-    keys = series.select("tag", "ts_ns").withColumn("value", F.lit(None).cast("double"))
-    starts = downsample(keys, budget, "first").select("tag", "ts_ns").distinct()
+    rows = series if where is None else series.where(where)
+    if newest is None:
+        newest = series.where("tag is not null").groupBy("tag").agg(F.max("ts_ns").alias("until"))
+    keys = rows.select("tag", "ts_ns").withColumn("value", F.lit(None).cast("double"))
+    starts = downsample(keys, budget, "first", start, end, newest=newest).select("tag", "ts_ns").distinct()
+    return _first_of(rows.join(starts, ["tag", "ts_ns"]), order)
+
+
+def _first_of(rows: DataFrame, order: str | None) -> DataFrame:
     pick = Window.partitionBy("tag", "ts_ns").orderBy(order or "ts_ns")
-    kept = series.join(starts, ["tag", "ts_ns"])
-    return kept.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n")
+
+
+def downsample_adaptive(
+    series: DataFrame,
+    budget: int = 0,
+    mode: str = "avg",
+    start: int | None = None,
+    end: int | None = None,
+    where=None,
+    order: str | None = None,
+    newest: DataFrame | None = None,
+) -> DataFrame:
+    """(tag, ts_ns, value): as ``downsample`` of a series of variants, value by value.
+
+    A window that opens on a number aggregates the numbers in it, as a double, and passes over all else; one that opens on anything else keeps that
+    value. Booleans and texts are no numbers.
+    """
+    kind = F.schema_of_variant("value")
+    number = F.when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get("value", "$", "double"))
+    rows = series if where is None else series.where(where)
+    if newest is None:
+        newest = series.where("tag is not null").groupBy("tag").agg(F.max("ts_ns").alias("until"))
+    got = downsample(rows.withColumn("value", number), budget, mode, start, end, None, order, newest)
+    # windows that opened on no number: the values that they opened on
+    opened = got.where("isnan(value)").select("tag", "ts_ns").distinct()
+    others = _first_of(rows.join(opened, ["tag", "ts_ns"]), order).select("tag", "ts_ns", "value")
+    return got.where("not isnan(value)").withColumn("value", F.col("value").cast("variant")).unionByName(others)

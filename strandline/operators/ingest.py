@@ -8,18 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from strandline.errors import EmptyValue, TimestampOutOfRange, UnsupportedFloat
+from strandline.errors import EmptyValue, TimestampOutOfRange, TypeMismatch, UnsupportedFloat
 from strandline.functions.quantize import quantize
 
 #: Arrival numbers per chunk of the running maximum.
 ARRIVALS = 1_000_000
 
 
-def guards(df: DataFrame, now_ns: int, ahead_ns: int = 0, value: str = "value", strict: bool = False) -> DataFrame:
+def guards(df: DataFrame, now_ns: int, ahead_ns: int = 0, value: str = "value", strict: bool = False, fits: Column | None = None) -> DataFrame:
     """Rows that may be stored: value not null, float neither NaN nor infinite, time at most ``ahead_ns`` after ``now_ns`` (0: any).
 
     ``strict`` raises for the first offending kind instead of dropping rows; that costs a pass over the input. Rows with null
-    tag or time are dropped, or an EmptyValue in strict mode.
+    tag or time are dropped, or an EmptyValue in strict mode. ``fits`` is the value in its column's type: null for a value that can't be
+    converted, which is a TypeMismatch in strict mode.
     """
     floating = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
     finite = ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")) if floating else F.lit(True)
@@ -27,9 +28,10 @@ def guards(df: DataFrame, now_ns: int, ahead_ns: int = 0, value: str = "value",
     near = F.col("ts_ns") <= now_ns + ahead_ns if ahead_ns else F.lit(True)
     if strict:
         bad = df.agg(
-            F.max((~present).cast("int")).alias("empty"), F.max((present & ~finite).cast("int")).alias("odd"), F.max((present & ~near).cast("int")).alias("far")
+            F.max((~present).cast("int")).alias("empty"), F.max((present & ~finite).cast("int")).alias("odd"), F.max((present & ~near).cast("int")).alias("far"),
+            F.max((present & fits.isNull() if fits is not None else F.lit(False)).cast("int")).alias("other"),
         ).first()
-        for flag, error in ((bad["empty"], EmptyValue), (bad["odd"], UnsupportedFloat), (bad["far"], TimestampOutOfRange)):
+        for flag, error in ((bad["empty"], EmptyValue), (bad["odd"], UnsupportedFloat), (bad["far"], TimestampOutOfRange), (bad["other"], TypeMismatch)):
             if flag:
                 raise error(value)
     return df.where(present & finite & near)
@@ -111,9 +113,9 @@ def thin(df: DataFrame, min_interval_ns: int = 0, dedup_ns: int = 0, value: str
     return streams.select(*df.columns, "_v", *(["_last_ts", "_last_v"] if last is not None else [])).mapInPandas(_thin(min_interval_ns, dedup_ns), df.schema)
 
 
-def reorder(df: DataFrame) -> DataFrame:
-    """Partitions by tag, each sorted by (tag, time): the layout that range reads and folds want."""
-    return df.repartition("tag").sortWithinPartitions("tag", "ts_ns")
+def reorder(df: DataFrame, *order: str) -> DataFrame:
+    """Partitions by tag, each sorted by (tag, time, ``order``): the layout that range reads and folds want."""
+    return df.repartition("tag").sortWithinPartitions("tag", "ts_ns", *order)
 
 
 def quantized(df: DataFrame, precision: int, value: str = "value") -> DataFrame:
@@ -142,9 +144,37 @@ def zero_fill(df: DataFrame, column: str = "value") -> DataFrame:
     return df.withColumn(column, fill(F.col(column), df.schema[column].dataType))
 
 
+#: What the kinds of an adaptive value are called.
+_KINDS = {
+    "BIGINT": "int", "INT": "int", "SMALLINT": "int", "TINYINT": "int", "DOUBLE": "float", "FLOAT": "float", "DECIMAL": "float",
+    "STRING": "string", "BOOLEAN": "bool", "OBJECT": "map", "ARRAY": "list",
+}
+
+
+_TAKES = (("float", "int"), ("float", "bool"))
+
+
 def accepts(stored: str, incoming: str) -> bool:
     """Whether a column of one type takes values of another: the same type, and ints and bools into floats."""
-    return stored == incoming or (stored == "float" and incoming in ("int", "bool"))
+    return stored == incoming or (stored, incoming) in _TAKES
+
+
+def type_changes(df: DataFrame, value: str = "value", order: str = "seq") -> DataFrame:
+    """(path, kinds) of each member of an adaptive column whose type changes to one that the type it had first doesn't take.
+
+    Members are those of the top level; a value that is no map has the path ''. ``kinds`` are the types in order of appearance. A map
+    takes maps only. Nulls have no type.
+    """
+    named = lambda k: F.coalesce(*[F.when(k.startswith(x), n) for x, n in _KINDS.items()])
+    whole = df.select(F.lit("").alias("path"), named(F.schema_of_variant(value)).alias("kind"), F.col(order).alias("o"))
+    maps = df.where(F.schema_of_variant(value).startswith("OBJECT"))
+    members = maps.select(F.explode(F.from_json(F.to_json(value), "map<string,variant>")).alias("path", "x"), F.col(order).alias("o"))
+    every = whole.unionByName(members.select("path", named(F.schema_of_variant("x")).alias("kind"), "o")).where("kind is not null")
+    firsts = every.groupBy("path", "kind").agg(F.min("o").alias("o"))  # at most as many rows a path as there are kinds
+    kinds = firsts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("o", "kind"))).kind.alias("kinds"))
+    first = F.col("kinds")[0]
+    taken = lambda k: (k == first) | F.struct(first, k).isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in _TAKES])
+    return kinds.where(F.exists("kinds", lambda k: ~taken(k)))
 
 
 def evolve(df: DataFrame, value: str, stored: str) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.predicates import build
 from strandline.session import materialize, shuffle_width
 
 
+DAY_NS = 86_400_000_000_000
+
+
+def day_of(ts_ns: Column) -> Column:
+    """UTC day of a time in ns, in whole numbers: doubles can't tell the last ns of a day from the next day."""
+    return F.round((ts_ns - F.pmod(ts_ns, F.lit(DAY_NS))) / F.lit(DAY_NS)).cast("long")
+
+
 def clamp(start: int, end: int, now_ns: int, expiration_ns: int) -> tuple[int, int]:
     """The range within the time that is kept; no expiration leaves it as it is."""
     if expiration_ns <= 0:
@@ -30,15 +38,15 @@ def range_scan(series: DataFrame, start: int | None = None, end: int | None = No
     return out
 
 
-def latest(series: DataFrame, arrival: str | None = None) -> DataFrame:
-    """(tag, ts_ns, value) of each tag's newest row; of equal times the last to arrive. One map-side combined aggregate, for
-    values of any type; null tags and times are left out."""
-    order = F.struct("ts_ns", arrival) if arrival else F.col("ts_ns")
+def latest(series: DataFrame, *arrival: str) -> DataFrame:
+    """(tag, ts_ns, value, and ``arrival``) of each tag's newest row; of equal times the last to arrive, by the columns ``arrival``.
+    One map-side combined aggregate, for values of any type; null tags and times are left out."""
+    order = F.struct("ts_ns", *arrival) if arrival else F.col("ts_ns")
     return (
         series.where("tag is not null and ts_ns is not null")
         .groupBy("tag")
-        .agg(F.max("ts_ns").alias("_ts"), F.max_by("value", order).alias("value"))
-        .select("tag", F.col("_ts").alias("ts_ns"), "value")
+        .agg(F.max(order).alias("_at"), F.max_by("value", order).alias("value"))
+        .select("tag", *([f"_at.{c}" for c in ("ts_ns", *arrival)] if arrival else [F.col("_at").alias("ts_ns")]), "value")
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.functions.predicates import Condition, all_of, any_of
 from strandline.functions.quantize import quantize
 from strandline.operators import ingest, reads
 from strandline.operators.downsample import HOUR_NS, downsample, downsample_first
-from strandline.session import load
+from strandline.session import load, materialize
 from strandline.sources.series import as_series, unix_ns
 from strandline.sources.store import dispatch
 
@@ -96,7 +96,7 @@ _add(
 def range_inclusive_bounds(spark: SparkSession, d: str) -> DataFrame:
     s = events(spark, d)
     edge = s.groupBy("tag").agg(F.min("ts_ns").alias("a"), F.max("ts_ns").alias("z"))
-    return _out(s.join(edge, "tag").where("ts_ns between a and z"))
+    return _out(reads.range_scan(s.join(edge, "tag"), F.col("a"), F.col("z")))
 
 
 _add(
@@ -156,7 +156,7 @@ def list_values(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "filter_list_ne",
     list_values,
-    "SELECT vec_id, CAST(label AS VARCHAR) AS tag FROM embeddings WHERE embedding[1:1] <> (SELECT embedding[1:1] FROM embeddings WHERE vec_id = 1)",
+    "SELECT vec_id, CAST(label AS VARCHAR) AS tag FROM embeddings WHERE embedding <> (SELECT embedding FROM embeddings WHERE vec_id = 1)",
 )
 
 
@@ -268,12 +268,12 @@ _add(
 
 _add(
     "latest_per_tag",
-    lambda spark, d: reads.latest(lineitems(spark, d), "k"),
+    lambda spark, d: reads.latest(lineitems(spark, d), "k").drop("k"),
     f"SELECT tag, max(ts_ns) AS ts_ns, arg_max(value, struct_pack(a := ts_ns, b := o)) AS value FROM ({_S_LINES}) GROUP BY tag",
 )
 _add(
     "latest_one",
-    lambda spark, d: reads.latest(events(spark, d).where("tag = 'click'"), "event_id"),
+    lambda spark, d: reads.latest(events(spark, d).where("tag = 'click'"), "event_id").drop("event_id"),
     f"SELECT tag, ts_ns, value FROM ({_S_EVENTS}) WHERE tag = 'click' ORDER BY ts_ns DESC, o DESC LIMIT 1",
 )
 _add(
@@ -286,7 +286,27 @@ _add(
     lambda spark, d: _out(reads.retained(events(spark, d), NOW, 10 * 86_400 * 1_000_000_000)),
     f"{_EVENTS} WHERE ts_ns >= {NOW - 10 * 86_400 * 1_000_000_000}",
 )
-_add("raw_ordering", lambda spark, d: _out(reads.range_scan(events(spark, d), T0, T1, "view").orderBy("ts_ns")), f"{_EVENTS} WHERE tag = 'view' AND ts_ns BETWEEN {T0} AND {T1}")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """``df`` as it lies, with each row's partition and its place in that (from 0)."""
+    laid = materialize(df.withColumn("id", F.monotonically_increasing_id()), "laid")
+    return laid.withColumn("part", F.shiftright("id", 33)).withColumn("place", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def raw_ordering(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a tag with their position in the sorted result, counted from the partitions' sizes."""
+    rows = _placed(reads.range_scan(events(spark, d), T0, T1, "view").orderBy("ts_ns", "event_id"))
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = parts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # a row per partition
+    return rows.join(before, "part").select("event_id", "tag", "ts_ns", "value", (F.col("before") + F.col("place") + 1).alias("position"))
+
+
+_add(
+    "raw_ordering",
+    raw_ordering,
+    f"SELECT *, row_number() OVER (ORDER BY ts_ns, event_id) AS position FROM ({_EVENTS}) WHERE tag = 'view' AND ts_ns BETWEEN {T0} AND {T1}",
+)
 
 # --- ingest ------------------------------------------------------------------------------------------------------------
 
@@ -352,13 +372,13 @@ _add(
     lambda spark, d: ingest.evolve(events(spark, d, F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id")))), "value", "float")[0].select("event_id", "value"),
     "SELECT event_id, event_id::DOUBLE AS value FROM events WHERE event_id % 2 = 0",
 )
-_add(
-    "batch_write_count",
-    lambda spark, d: ingest.guards(events(spark, d), NOW).groupBy("tag").agg(F.count(F.lit(1)).alias("written")),
-    "SELECT event_type AS tag, count(*) AS written FROM events WHERE value IS NOT NULL AND isfinite(value) GROUP BY 1",
-)
-_add(
-    "reorder_batch",
-    lambda spark, d: _out(ingest.reorder(events(spark, d))),
-    _EVENTS,
-)
+
+
+def reorder_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Each row with its place among its tag's rows as they lie after reordering; a tag lies in one partition."""
+    rows = _placed(ingest.reorder(events(spark, d), "event_id"))
+    first = rows.groupBy("tag").agg(F.min("place").alias("first"), F.min("part").alias("part"))
+    return rows.join(first, ["tag", "part"]).select("event_id", "tag", "ts_ns", "value", (F.col("place") - F.col("first") + 1).alias("position"))
+
+
+_add("reorder_batch", reorder_batch, f"SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ts_ns, event_id) AS position FROM ({_EVENTS})")

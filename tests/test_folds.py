@@ -4,6 +4,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from strandline.functions.quantize import effective_precision, quantize
+from strandline.operators import downsample as ds
 from strandline.operators.downsample import SeriesFold, downsample, fold
 from strandline.operators.ingest import accepts, drop_late, evolve, guards, keep_mask, thin, zero_fill
 from strandline.errors import EmptyValue, TimestampOutOfRange, UnsupportedFloat
@@ -38,8 +39,9 @@ POINTS = st.lists(st.tuples(st.integers(0, 400), st.none() | st.integers(-9, 9).
 
 
 @settings(max_examples=400, deadline=None)
-@given(POINTS, st.integers(1, 12), st.sampled_from(["avg", "min", "max", "first"]), st.integers(0, 450), st.integers(1, 9))
-def test_fold_equals_point_by_point(points, m, mode, end, part):
+@given(POINTS, st.integers(1, 12), st.sampled_from(["avg", "min", "max", "first"]), st.integers(0, 450), st.integers(1, 9), st.sampled_from([0, 2, 40]))
+def test_fold_equals_point_by_point(points, m, mode, end, part, side_by_side):
+    ds.SIDE_BY_SIDE = side_by_side
     ts = np.array([p[0] for p in points], dtype=np.int64)
     v = np.array([np.nan if p[1] is None else p[1] for p in points], dtype=np.float64)
     end = max(end, int(ts[-1])) if len(ts) else end

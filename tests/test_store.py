@@ -1,8 +1,11 @@
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.catalog import BOOL, FLOAT, INT, STRING, STRUCTURE, UNKNOWN, ColumnAttribute
-from strandline.errors import EmptyValue, LateRecord, NoDataForTag, TableExists, TableNotFound, TagNotFound, TimestampOutOfRange, TypeMismatch, UnsupportedFloat
-from strandline.functions.predicates import Condition
+from strandline.errors import DatabaseClosed, EmptyValue, LateRecord, NoDataForTag, TableExists, TableNotFound, TagNotFound, TimestampOutOfRange, TypeMismatch, UnsupportedFloat
+from strandline.functions.predicates import Condition, build
 from strandline.sources.store import Config, Database
 from strandline.streaming.ingest_stream import start_ingest, windowed
 
@@ -99,7 +102,8 @@ def test_expiration(db):
     db.config.expiration_min = 2 * 1440
     assert [r.value for r in db.query_all("i", "a", 0, 2 * T0, now_ns=T0).collect()] == [2, 1, 0]
     assert db.sweep("i", T0) == 2 and db.series("i").count() == 3
-    db.write_batch("i", [("old", T0 - 2 * day, 7)])
+    db.config.sweep_s = 10**9
+    db.write_batch("i", [("old", T0 - 2 * day, 7)], T0)
     assert db.sweep("i", T0 + 99 * day) == 2 and db.query_latest("i", "a") == (T0, 0)
     with pytest.raises(NoDataForTag):
         db.query_latest("i", "old")
@@ -148,3 +152,55 @@ def test_batches_are_judged_against_stored_points(spark, db):
     for name, value in (("same", float), ("json", lambda x: {"x": x})):
         kept = [db.write_batch(name, [("a", T0 + at * S, value(x)), ("new", T0 + at * S, value(at))]) for at, x in ((0, 1), (9, 1), (10, 1), (11, 1), (12, 2), (5, 3), (22, 2), (23, 2))]
         assert kept == [2, 1, 1, 2, 2, 0, 1, 2] and seen(name) == [0, 11, 12, 23]
+
+
+def test_quantised_members_and_adaptive_floats(spark, db):
+    parts = [ColumnAttribute("a", FLOAT, float_precision=1), ColumnAttribute("b", FLOAT), ColumnAttribute("c", STRUCTURE, structure=[ColumnAttribute("d", FLOAT, float_precision=2)])]
+    db.create_table("s", ColumnAttribute("value", STRUCTURE, structure=parts))
+    db.write_batch("s", [("t", T0, {"a": 1.23, "b": 1.23456, "c": {"d": -0.128}})])
+    value = db.query_latest("s", "t")[1]
+    assert (value.a, value.b, value.c.d) == (1.3, 1.23456, -0.12)
+    db.create_table("v", ColumnAttribute("value", UNKNOWN, float_precision=2))
+    values = [1.234, {"x": 0.001, "y": [1.5, 2.005, 7], "z": "1.234"}, "1.234", 3, True, [0.111]]
+    db.write_batch("v", [("t", T0 + i, x) for i, x in enumerate(values)])
+    got = [r[0] for r in db.query_all("v", "t", T0, T0 + 9).select(F.to_json("value")).collect()]
+    assert [json.loads(x) for x in got] == [1.24, {"x": 0.01, "y": [1.5, 2.01, 7], "z": "1.234"}, "1.234", 3, True, [0.12]]
+    assert [db.catalog.get(t).column.float_precision for t in ("v",)] == [2]
+
+
+def test_type_changes_can_be_refused(db):
+    db.config.refuse_type_changes = True
+    db.create_table("v")
+    with pytest.raises(TypeMismatch, match="v is .*int.*string"):
+        db.write_batch("v", [("t", T0 + i, {"v": x}) for i, x in enumerate((1, 2, "hello"))])
+    with pytest.raises(TypeMismatch):
+        db.write_batch("v", [("t", T0, 1), ("t", T0 + 1, {"a": 1})])
+    assert db.write_batch("v", [("t", T0 + i, {"v": x, "w": i}) for i, x in enumerate((1.5, 2, True, None))]) == 4
+
+
+def test_versions_closing_and_replays(spark, db):
+    db.create_table("f", ColumnAttribute("value", FLOAT))
+    other = Database(spark, db.config)
+    db.write_batch("f", [("a", T0, 1.0)])
+    db.write_batch("f", [("a", T0, 2.0), ("a", T0, 3.0)])
+    for _ in range(3):
+        db.compact("f")
+        assert other.query_latest("f", "a") == (T0, 3.0) and other.series("f").count() == 3
+    assert db.catalog.get("f").version == 3
+    rows = spark.createDataFrame([("b", T0, 5.0)], "tag string, ts_ns long, value double")
+    first = db.append("f", rows, source="s-1")
+    db.compact("f")
+    assert db.append("f", rows, source="s-1") == first and db.append("f", rows, source="s-2") > first
+    other.close()
+    with pytest.raises(DatabaseClosed):
+        other.series("f")
+
+
+def test_unequal_to_another_kind(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "n long, value string")
+    structs = df.select("n", F.struct("value").alias("value"))
+    variants = df.select("n", F.parse_json(F.to_json(F.struct("value"))).alias("value"))
+    for rows in (structs, variants):
+        kind = rows.schema["value"].dataType
+        assert [r.n for r in rows.where(build(Condition("value", "!=", 5), "value", kind)).collect()] == [1]
+        assert rows.where(build(Condition("value", "=", 5), "value", kind)).count() == 0
