@@ -1,10 +1,12 @@
 """Filling containers of fixed capacity with items, by hierarchical multi-length packing.
 
 The plan is made on the histogram of lengths, which has at most as many rows as the capacity however many items there
-are. Lengths are routed to tiers; the tier of the longest is packed first, and each shorter tier first fills the gaps
-that the longer ones left (best fit) before it opens containers of its own. Containers filled alike form one group of the
+are. Every tier has a context size; lengths are routed to the smallest context that holds them. From the longest tier down, the windows of the longer
+contexts are first filled up from the tier (best fit, longest items first); what is left of the tier is packed into windows of its own context. So every window
+belongs to one context, and long windows have their gaps filled from shorter tiers. At the end the windows of all contexts are put together to containers of
+the one capacity, again by best fit; as each context divides the next, full windows do so without loss. Windows filled alike form one group of the
 plan. An item finds its container from its length and its rank among the items of that length, which is
-counted in two steps so that no length is gathered in one task.
+counted in two steps so that no length is gathered in one task. Containers are dealt to step groups so that these hold equally many tokens.
 """
 
 from __future__ import annotations
@@ -27,78 +29,106 @@ STEP, BUCKETS = 8, 256
 
 @dataclass
 class Group:
-    """``count`` containers with the same content: (length, how many) in order."""
+    """``count`` containers (or windows) with the same content: (context of its window, length, how many) in order."""
 
     count: int
     free: int
-    content: list[tuple[int, int]] = field(default_factory=list)
+    content: list[tuple[int, int, int]] = field(default_factory=list)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, tiers: Sequence[int] = TIERS) -> list[Group]:
-    """Groups of containers that hold every item of the histogram (length -> number, lengths 1..capacity)."""
-    if any(not 1 <= n <= capacity for n in histogram):
-        raise ValueError("lengths must be within 1..capacity")
-    open_by_free: dict[int, list[Group]] = {}
-    frees: list[int] = []
-    done: list[Group] = []
+class _Open:
+    """Groups by the space that is free in them."""
+
+    def __init__(self):
+        self.by_free: dict[int, list[Group]] = {}
+        self.frees: list[int] = []
+        self.full: list[Group] = []
 
-    def put(g: Group) -> None:
+    def put(self, g: Group) -> None:
         if not g.count:
             return
         if not g.free:
-            done.append(g)
+            self.full.append(g)
             return
-        if g.free not in open_by_free:
-            open_by_free[g.free] = []
-            insort(frees, g.free)
-        open_by_free[g.free].append(g)
-
-    lower = 0
-    bands = []
-    for tier in sorted({*(t for t in tiers if t < capacity), capacity}):
-        bands.append([n for n in histogram if lower < n <= tier])
-        lower = tier
-    for band in reversed(bands):
-        for length in sorted(band, reverse=True):
-            left = histogram[length]
-            while left:
-                at = bisect_left(frees, length)
-                if at == len(frees):
-                    break
-                space = frees[at]
-                groups = open_by_free[space]
-                g = groups.pop()
-                if not groups:
-                    del open_by_free[space]
-                    frees.pop(at)
-                fit = min(space // length, max(1, left // g.count))  # as many of this length as each of them can take
-                take = min(g.count, left // fit)
-                put(Group(g.count - take, g.free, g.content))
-                put(Group(take, g.free - fit * length, [*g.content, (length, fit)]))
-                left -= take * fit
-            if left:
-                each = capacity // length
-                put(Group(left // each, capacity - each * length, [(length, each)]))
-                if left % each:
-                    put(Group(1, capacity - left % each * length, [(length, left % each)]))
-    groups = done + [g for f in frees for g in open_by_free[f]]
-    return sorted(groups, key=lambda g: (g.free, g.content))
+        if g.free not in self.by_free:
+            self.by_free[g.free] = []
+            insort(self.frees, g.free)
+        self.by_free[g.free].append(g)
+
+    def fill(self, size: int, count: int, content: list[tuple[int, int, int]] | None, length: int = 0) -> int:
+        """Put up to ``count`` pieces of ``size`` where they fit best; gives how many found no space.
+
+        A piece is an item of ``length`` (it takes the context of the window it comes into) or a window with its ``content``."""
+        while count:
+            at = bisect_left(self.frees, size)
+            if at == len(self.frees):
+                break
+            space = self.frees[at]
+            groups = self.by_free[space]
+            g = groups.pop()
+            if not groups:
+                del self.by_free[space]
+                self.frees.pop(at)
+            fit = min(space // size, max(1, count // g.count))  # as many as each of them can take
+            take = min(g.count, count // fit)
+            more = content * fit if content is not None else [(g.content[-1][0], length, fit)]
+            self.put(Group(g.count - take, g.free, g.content))
+            self.put(Group(take, g.free - fit * size, [*g.content, *more]))
+            count -= take * fit
+        return count
+
+    def all(self) -> list[Group]:
+        return self.full + [g for f in self.frees for g in self.by_free[f]]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, tiers: Sequence[int] = TIERS) -> list[Group]:
+    """Groups of containers that hold every item of the histogram (length -> number, lengths 1..capacity)."""
+    if any(not 1 <= n <= capacity for n in histogram):
+        raise ValueError("lengths must be within 1..capacity")
+    contexts = sorted({*(t for t in tiers if 0 < t < capacity), capacity})
+    windows = _Open()
+    lower = dict(zip(contexts, [0, *contexts]))
+    for context in reversed(contexts):
+        left = {n: windows.fill(n, histogram[n], None, n) for n in sorted(histogram, reverse=True) if lower[context] < n <= context}
+        own = _Open()
+        for n, count in left.items():
+            rest = own.fill(n, count, None, n)
+            each = context // n
+            own.put(Group(rest // each, context - each * n, [(context, n, each)]))
+            if rest % each:
+                own.put(Group(1, context - rest % each * n, [(context, n, rest % each)]))
+        for g in own.all():
+            windows.put(g)
+    # windows of all contexts together to containers: the best filled first
+    whole = _Open()
+    for g in sorted(windows.all(), key=lambda g: (-_used(g), g.content)):
+        used = _used(g)
+        rest = whole.fill(used, g.count, g.content)
+        each = capacity // used
+        whole.put(Group(rest // each, capacity - each * used, g.content * each))
+        if rest % each:
+            whole.put(Group(1, capacity - rest % each * used, g.content * (rest % each)))
+    return sorted(whole.all(), key=lambda g: (g.free, g.content))
+
+
+def _used(g: Group) -> int:
+    return sum(length * k for _, length, k in g.content)
 
 
 def lookup(groups: Sequence[Group]) -> dict[str, np.ndarray]:
-    """Per (length, first rank): the first container, items per container, and the offset of the first item there."""
+    """Per (length, first rank): the first container, items per container, the offset of the first item there, and the context of its window."""
     rows, used, base = [], {}, 0
     for g in groups:
         offset = 0
-        for length, k in g.content:
+        for context, length, k in g.content:
             start = used.get(length, 0)
-            rows.append((length, start, base, k, offset))
+            rows.append((length, start, base, k, offset, context))
             used[length] = start + g.count * k
             offset += length * k
         base += g.count
     rows.sort()
-    cols = np.array(rows, dtype=np.int64).reshape(-1, 5).T
-    return {"length": cols[0], "start": cols[1], "base": cols[2], "each": cols[3], "offset": cols[4], "containers": np.array([base])}
+    cols = np.array(rows, dtype=np.int64).reshape(-1, 6).T
+    return {"length": cols[0], "start": cols[1], "base": cols[2], "each": cols[3], "offset": cols[4], "context": cols[5], "containers": np.array([base])}
 
 
 _RANK_BITS = 46
@@ -113,21 +143,24 @@ def _place(table: dict[str, np.ndarray], steps: int):
             nth = rank - table["start"][i]
             box = table["base"][i] + nth // table["each"][i]
             offset = table["offset"][i] + nth % table["each"][i] * size
+            # round and back, since containers are numbered by their fill: each turn gives all groups about as much
+            turn, place = box // steps, box % steps
+            step = np.where(turn % 2 == 0, place, steps - 1 - place)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in range(4)), pa.array(box), pa.array(offset), pa.array(box % steps)],
-                names=["id", "piece_no", "start_token", "n_tokens", "container_id", "container_offset", "step_group"],
+                [*(batch.column(c) for c in range(4)), *map(pa.array, (box, offset, step, table["context"][i]))],
+                names=["id", "piece_no", "start_token", "n_tokens", "container_id", "container_offset", "step_group", "context"],
             )
 
     return run
 
 
 def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, tiers: Sequence[int] = TIERS, step: int = STEP) -> DataFrame:
-    """(``key``, ``piece_no``, ``start_token``, ``n_tokens``, ``container_id``, ``container_offset``, ``step_group``).
+    """(``key``, ``piece_no``, ``start_token``, ``n_tokens``, ``container_id``, ``container_offset``, ``step_group``, ``context``).
 
     An item above the capacity is split into full pieces and a rest, no other is. Items of size 0 or null take no
-    container: one row with ``n_tokens`` 0 and null container. Keys must be unique; null keys are left out. Containers are
-    dealt round to step groups of about ``step`` containers in order of their fill, so that groups are equally full.
-    Empty input gives no rows.
+    container: one row with ``n_tokens`` 0 and null container. Keys must be unique; null keys are left out. ``context`` is
+    the context size of the window that the piece is in. Containers are dealt to step groups of about ``step`` containers in order of their
+    fill, round and back, so that groups hold equally many tokens. Empty input gives no rows.
     """
     items = sizes.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))
     cap = F.lit(capacity)
@@ -148,8 +181,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
         .join(before.hint("merge"), ["n_tokens", "bucket"])  # both sides are partitioned so already
         .select("id", "piece_no", "start_token", "n_tokens", (F.col("before") + F.col("own")).alias("rank"))
     )
-    schema = "id long, piece_no long, start_token long, n_tokens long, container_id long, container_offset long, step_group long"
+    schema = "id long, piece_no long, start_token long, n_tokens long, container_id long, container_offset long, step_group long, context long"
     none = F.lit(None).cast("long")
     zero = F.lit(0).cast("long")
-    empty = items.where("n = 0").select("id", zero.alias("piece_no"), zero.alias("start_token"), zero.alias("n_tokens"), none.alias("container_id"), none.alias("container_offset"), none.alias("step_group"))
+    empty = items.where("n = 0").select("id", zero.alias("piece_no"), zero.alias("start_token"), zero.alias("n_tokens"), none.alias("container_id"), none.alias("container_offset"), none.alias("step_group"), none.alias("context"))
     return ranked.mapInArrow(_place(table, steps), schema).unionByName(empty).withColumnRenamed("id", key)

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.llm import encode, language, packing, percentiles, runs
+from strandline.operators.reads import day_of
 from strandline.operators.regular_grid import instant_ns
 from strandline.session import load, materialize
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.99)
-DAY_NS = 86_400_000_000_000
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
     headers = load(spark, d, "segment_headers").where("attr_code is not null and attr_code != 0").select("block_id", "attr_code")
-    points = load(spark, d, "points").select("block_id", "v", F.floor(instant_ns(F.col("tms")) / F.lit(DAY_NS)).alias("day"))
+    points = load(spark, d, "points").select("block_id", "v", day_of(instant_ns(F.col("tms"))).alias("day"))
     return points.join(headers, "block_id")
 
 
@@ -51,6 +51,25 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(materialize(encode.count_tokens(load(spark, d, "documents")), "tokens"))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold: whether each document is in them once and whole, no container is overfull and no two pieces overlap, and the share filled."""
+    rows = materialize(p8_containers(spark, d), "containers")
+    docs = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("upto"))
+    split = F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY))
+    per_doc = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(((F.col("n") != F.col("upto")) | (F.col("pieces") != split)).cast("long")).alias("broken"))
+    order = Window.partitionBy("container_id").orderBy("container_offset")  # at most as many rows as a container has tokens
+    placed = rows.where("container_id is not null").withColumn("next", F.coalesce(F.lead("container_offset").over(order), F.lit(packing.CAPACITY)))
+    per_box = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max((F.col("container_offset") + F.col("n_tokens") > F.col("next")).cast("long")).alias("over"))
+    boxes = per_box.agg(F.sum("over").alias("overlaps"), F.sum((F.col("n") > packing.CAPACITY).cast("long")).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"))
+    boxes = boxes.withColumn("fill", F.col("tokens") / (F.col("containers") * packing.CAPACITY))
+    both = per_doc.unionByName(boxes, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    return p8_fill(spark, d).select("documents", "broken", "overlaps", "overfull", (F.col("containers") <= 1.01 * F.ceil(F.col("tokens") / packing.CAPACITY) + 1).alias("well_filled"))
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
     return language.assign_languages(docs, language.fit(docs))
@@ -73,7 +92,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_day_summaries, p2_from_days, p4_found, p4_runs, p7_ids, p8_containers, p9_found, p9_languages)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_day_summaries, p2_from_days, p4_found, p4_runs, p7_ids, p8_containers, p8_fill, p8_check, p9_found, p9_languages)}
 
 _P2 = """
 WITH v AS (SELECT attr_code, v + 0.0::DOUBLE AS v FROM points JOIN segment_headers USING (block_id)
@@ -105,7 +124,21 @@ b AS (
     THEN 0 ELSE 1 END AS fresh FROM l),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY tag_key ORDER BY ts_ns) AS run FROM b)
 """
+_BITS = """
+WITH v AS (
+  SELECT attr_code, (CASE WHEN abs(tms) < 100000000000 THEN tms * 1000000000 WHEN abs(tms) < 100000000000000 THEN tms * 1000000
+                     WHEN abs(tms) < 100000000000000000 THEN tms * 1000 ELSE tms END) // 86400000000000 AS day, (v + 0.0::DOUBLE)::BIT::BIGINT AS b
+  FROM points JOIN segment_headers USING (block_id) WHERE attr_code IS NOT NULL AND attr_code <> 0 AND v IS NOT NULL AND isfinite(v)),
+o AS (SELECT attr_code, day, CASE WHEN b < 0 THEN xor(b, 9223372036854775807) ELSE b END AS k FROM v),
+"""
+_AS_DOUBLE = "(CASE WHEN {0} < 0 THEN xor({0}, 9223372036854775807) ELSE {0} END)::BIT::DOUBLE"
 ORACLES = {
+    "p2_day_summaries": _BITS + "x AS (SELECT attr_code, day, k >> 44 AS digit FROM o) SELECT attr_code, day, digit, count(*) AS n FROM x GROUP BY ALL",
+    # the bounds of the digit that the exact percentile has
+    "p2_from_days": _BITS + f"""r AS (SELECT attr_code, (k >> 44) * 17592186044416 AS lo, row_number() OVER (PARTITION BY attr_code ORDER BY k) AS i, count(*) OVER (PARTITION BY attr_code) AS n FROM o)
+SELECT attr_code, q, n, {_AS_DOUBLE.format('lo')} AS low, {_AS_DOUBLE.format('(lo + 17592186044415)')} AS high
+FROM r, (SELECT unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.99]) AS q) WHERE i = greatest(1, ceil(q * n::DOUBLE)::BIGINT)""",
+    "p8_check": "SELECT count(DISTINCT doc_id) AS documents, 0 AS broken, 0 AS overlaps, 0 AS overfull, true AS well_filled FROM documents",
     "p2_percentiles": _P2,
     "p4_found": _P4 + "SELECT tag_key, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM r GROUP BY tag_key, run HAVING count(*) >= 2",
     "p4_runs": _P4 + """SELECT tag_key, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, max(ts_ns) - min(ts_ns) AS duration_ns,

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from sql import compare
 from strandline.llm import queries
 from strandline.llm.percentiles import day_summaries, from_ordered_bits, ordered_bits, percentiles_from_summaries, radix_percentiles
 
@@ -44,3 +45,8 @@ def test_day_summaries_hold_the_exact_percentiles(spark, sf):
     rough = queries.p2_from_days(spark, sf).collect()
     assert len(rough) == len(exact)
     assert all(r.low <= exact[r.attr_code, r.q] <= r.high for r in rough)
+
+
+@pytest.mark.parametrize("name", ["p2_percentiles", "p2_day_summaries", "p2_from_days"])
+def test_against_sql(spark, sf, name):
+    assert compare(getattr(queries, name)(spark, sf), queries.ORACLES[name], sf)
