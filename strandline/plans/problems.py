@@ -44,10 +44,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid.regular_series(_readings(spark, d), within_day=True)
-
-
-def p3_series(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_series(_readings(spark, d))
 
 
@@ -64,7 +60,7 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_method(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.peaks(load(spark, d, "tag_points"))
+    return spikes.peaks(load(spark, d, "tag_points"), load(spark, d, "tag_dictionary"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +76,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p3_series, p5_found, p5_flags, p5_method, p6_found, p6_projections, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_method, p5_found, p5_flags, p6_found, p6_projections, p6_table)}
 
 _PER_KEY = """
 SELECT {key}, count(*) AS n, min({time}) AS {first}, max({time}) AS {last},
@@ -118,11 +114,7 @@ HAVING attr_code IS NOT NULL AND attr_code <> 0 AND count(*) * 100 >= 3 * (SELEC
     "p1_wal_keys": _PER_KEY.format(key="tag_key", time="ts_ns", order="entry_id", value="val", table="wal_entries", first="first_ts", last="last_ts", latest="latest_val"),
     "p1_header_keys": _PER_KEY.format(key="attr_code", time="max_time", order="block_id", value="segment_file", table="segment_headers", first="first_max", last="last_max", latest="latest_file"),
     "p3_found": _READINGS + "SELECT tag_key, slot_ns FROM f WHERE n = 0",
-    "p3_grid": _READINGS + """
-SELECT tag_key, slot_ns, n, CASE WHEN (slot_ns - seen) // step <= 3 THEN seen_v END AS value,
-       CASE WHEN n > 0 THEN 'observed' WHEN (slot_ns - seen) // step <= 3 THEN 'filled' ELSE 'missing' END AS state
-FROM f""",
-    "p3_series": _READINGS + """,
+    "p3_grid": _READINGS + """,
 wg AS (SELECT tag_key, step, unnest(range(min(slot_ns), max(slot_ns) + 1, step)) AS slot_ns FROM s GROUP BY tag_key, step),
 wf AS (SELECT wg.tag_key, wg.step, wg.slot_ns, coalesce(s.n, 0) AS n,
        last_value(CASE WHEN s.n IS NOT NULL THEN wg.slot_ns END IGNORE NULLS) OVER w AS seen,
