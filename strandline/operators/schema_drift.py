@@ -1,11 +1,14 @@
-"""Schemas that drift between files: minimum-cost edit scripts, and projections compiled from them.
-
-The schema of a file is a tree whose leaves are typed fields. Between a file and the one before it in its table the script
-of least cost over four edits (add, delete, rename or move, retype) is found by an assignment between the leaves
-that went and those that came. Renaming costs less than deleting and adding only where the leaf has the same type and carries on the
-same quantity, judged by what describes it (its description, or what its name is described as anywhere in the
-corpus) and by the values in the files' records. The scripts of a table are then compiled into one projection per
-file, which maps each of its paths to the field of the consistent table.
+"""Schemas that drift between files: tree edit scripts of least cost, and projections compiled from them.
+
+The schema of a file is a tree: structures (and maps) are inner nodes, typed fields are leaves. Between a file and the one before it in its table the
+edit script of least cost is found, of additions, deletions, renamings and moves of nodes, whole subtrees included, and changes of a leaf's type. The order of
+siblings means nothing, so the distance is that of unordered trees: children are matched by an assignment of least cost, from the leaves up; what is
+left over on both sides is matched once more over all levels, as moves. Turning one leaf into another costs less than deleting and adding only where it has
+the same type and carries on the same quantity, judged by what describes it (its description, or what its name is described as anywhere in the
+corpus) and by the values in the files' records. A leaf whose path stays is the same leaf. Edits of leaves weigh more than those of inner nodes, which
+decide between scripts that cost the same at the leaves. The scripts of a table are compiled into one projection per
+file, which maps each of its paths to the field of the consistent table: per range of files into a mapping from the paths before to those after, and the
+mappings, which compose associatively, from range to range.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ ADAPTIVE_TYPES = {"int64": "int", "uint64": "int", "float64": "float", "string":
 #: Cost of adding or deleting a leaf. A rename must cost less than one of each.
 EDIT = 1.0
 _UNLIKE = 9.0
+#: Cost of a move to a parent that isn't its own any more, and of adding, deleting or renaming an inner node.
+MOVE, INNER = 0.001, 0.01
+#: Files of a table whose scripts are composed in one task; magnitudes beyond LARGEST count as that, so that sums of squares stay finite.
+RANGE, LARGEST = 500, 1e140
 
 
 def declared_leaves(structure: str | None) -> list[tuple[str, str | None, str | None]]:
@@ -105,15 +112,13 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif isinstance(v, bool):
                     a[1] += 1
                     a[2] += v
+                elif v != v:  # NaN, which is no number
+                    a[0] += 1
                 elif isinstance(v, (int, float)):
                     a[3 if isinstance(v, int) else 4] += 1
-                    try:
-                        x = float(v)
-                    except OverflowError:
-                        continue
-                    if math.isfinite(x) and abs(x) < 1e150:
-                        a[6] += x
-                        a[7] += x * x
+                    x = float(max(-LARGEST, min(LARGEST, v)))
+                    a[6] += x
+                    a[7] += x * x
                 elif isinstance(v, str):
                     a[5] += 1
                     a[8].add(shape_code(shape_of(v)))
@@ -243,31 +248,137 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
+def _parents(path: str) -> list[str]:
+    """The inner nodes that a path goes through, the root ('') first."""
+    parts = path.split(".")[:-1]
+    return ["", *(".".join(parts[: i + 1]) for i in range(len(parts)))]
+
+
+class _Tree:
+    """Leaves by path, and per inner node its leaves and inner children."""
+
+    def __init__(self, leaves: dict[str, dict]):
+        self.leaves: dict[str, list[str]] = {"": []}
+        self.inner: dict[str, list[str]] = {"": []}
+        for path in leaves:
+            up = _parents(path)
+            for parent, node in zip(up, up[1:]):
+                if node not in self.inner:
+                    self.inner[parent].append(node)
+                    self.inner[node], self.leaves[node] = [], []
+            self.leaves[up[-1]].append(path)
+
+    def size(self, node: str) -> int:
+        return len(self.leaves[node]) + sum(map(self.size, self.inner[node]))
+
+
+def _cheapest(rows: list, cols: list, cost, drop, add) -> tuple[float, list[tuple]]:
+    """(cost, matched pairs) of the cheapest way to match some of ``rows`` to ``cols``, to drop the other rows and add the other columns."""
+    if not rows or not cols:
+        return sum(map(drop, rows)) + sum(map(add, cols)), []
+    # matching a pair saves its deletion and addition; a column per row stands for leaving the row alone
+    table = [[cost(r, c) - drop(r) - add(c) for c in cols] + [0.0 if i == j else _UNLIKE for j in range(len(rows))] for i, r in enumerate(rows)]
+    pairs = [(rows[i], cols[j]) for i, j in enumerate(assign(table)) if j < len(cols) and table[i][j] < 0]
+    return sum(map(drop, rows)) + sum(map(add, cols)) + sum(cost(r, c) - drop(r) - add(c) for r, c in pairs), pairs
+
+
+class TreeEdit:
+    """The edit script of least cost between two schemas, given as leaves by path."""
+
+    def __init__(self, old: dict[str, dict], new: dict[str, dict]):
+        self.old, self.new = old, new
+        self.a, self.b = _Tree(old), _Tree(new)
+        self.known: dict[tuple[str, str], float] = {}
+        self.leaf_cost: dict[tuple[str, str], float] = {}
+        self.structures: dict[str, str] = {"": ""}
+        self.renamed: dict[str, str] = {}
+        gone, came = [p for p in sorted(old) if p not in new], [p for p in sorted(new) if p not in old]
+        if gone and came:
+            self._match_structures()
+            _, pairs = _cheapest(gone, came, self._moved, lambda _: EDIT, lambda _: EDIT)
+            self.renamed = dict(pairs)
+
+    def leaf(self, p: str, q: str) -> float:
+        """A leaf turned into another; one that stays at its path is itself and nothing else."""
+        if p == q:
+            return 0.0 if self.old[p]["type"] == self.new[q]["type"] else EDIT / 2
+        if p in self.new or q in self.old:
+            return _UNLIKE
+        if (p, q) not in self.leaf_cost:
+            self.leaf_cost[p, q] = min(rename_cost(self.old[p], self.new[q]), _UNLIKE)
+        return self.leaf_cost[p, q]
+
+    def distance(self, p: str, q: str) -> float:
+        """Tree edit distance between the subtrees at two inner nodes, their own names aside."""
+        if (p, q) not in self.known:
+            leaves, _ = _cheapest(self.a.leaves[p], self.b.leaves[q], self.leaf, lambda _: EDIT, lambda _: EDIT)
+            inner, _ = _cheapest(self.a.inner[p], self.b.inner[q], self._inner, self._whole(self.a), self._whole(self.b))
+            self.known[p, q] = leaves + inner
+        return self.known[p, q]
+
+    def _inner(self, p: str, q: str) -> float:
+        return self.distance(p, q) + (INNER if p.rpartition(".")[2] != q.rpartition(".")[2] else 0.0)
+
+    @staticmethod
+    def _whole(tree: _Tree):
+        return lambda node: INNER + EDIT * tree.size(node)
+
+    def _match_structures(self) -> None:
+        """Inner nodes that are each other: at every level first, then what is left over at any level, as moves of subtrees."""
+
+        def down(p: str, q: str) -> None:
+            _, pairs = _cheapest(self.a.inner[p], self.b.inner[q], self._inner, self._whole(self.a), self._whole(self.b))
+            for x, y in pairs:
+                self.structures[x] = y
+                down(x, y)
+
+        down("", "")
+        rest = [p for p in self.a.inner if p not in self.structures]
+        taken = set(self.structures.values())
+        free = [q for q in self.b.inner if q not in taken]
+        _, moved = _cheapest(rest, free, lambda p, q: self._inner(p, q) + MOVE, self._whole(self.a), self._whole(self.b))
+        self.structures.update(moved)
+
+    def _moved(self, p: str, q: str) -> float:
+        stays = self.structures.get(_parents(p)[-1]) == _parents(q)[-1]
+        return self.leaf(p, q) + (0.0 if stays else MOVE)
+
+    def script(self) -> list[tuple[str, str, str]]:
+        """(change_kind, old_path, new_path) at the leaves."""
+        old, new = self.old, self.new
+        out = [("retyped", p, p) for p in old if p in new and old[p]["type"] and new[p]["type"] and old[p]["type"] != new[p]["type"]]
+        came = set(self.renamed.values())
+        out += [("renamed", p, q) for p, q in self.renamed.items()]
+        out += [("removed", p, "") for p in sorted(old) if p not in new and p not in self.renamed]
+        return out + [("added", "", q) for q in sorted(new) if q not in old and q not in came]
+
+    def structure_script(self) -> list[tuple[str, str, str]]:
+        """(change_kind, old_path, new_path) at the inner nodes: what was added, removed, or renamed or moved with what is in it."""
+        a, b = set(self.a.inner), set(self.b.inner)
+        moved = {p: q for p, q in self.structures.items() if p != q and p not in b and q not in a}
+        out = [("renamed", p, q) for p, q in sorted(moved.items())]
+        out += [("removed", p, "") for p in sorted(a - b) if p not in moved]
+        return out + [("added", "", q) for q in sorted(b - a) if q not in moved.values()]
+
+
 def edit_script(before: list[dict], after: list[dict]) -> list[tuple[str, str, str]]:
-    """(change_kind, old_path, new_path) of the least-cost script that turns one leaf set into the other."""
-    old, new = {x["path"]: x for x in before}, {x["path"]: x for x in after}
-    out = [("retyped", p, p) for p in old if p in new and old[p]["type"] and new[p]["type"] and old[p]["type"] != new[p]["type"]]
-    gone, came = sorted(set(old) - set(new)), sorted(set(new) - set(old))
-    pairs: dict[str, str] = {}
-    if gone and came:
-        # a dummy column per leaf that goes: deleting it, and leaving one that came to be added
-        table = [[min(rename_cost(old[g], new[c]), _UNLIKE) for c in came] + [2 * EDIT if i == j else _UNLIKE for j in range(len(gone))] for i, g in enumerate(gone)]
-        for i, j in enumerate(assign(table)):
-            if j < len(came) and table[i][j] < 2 * EDIT:
-                pairs[gone[i]] = came[j]
-    out += [("renamed", g, c) for g, c in pairs.items()]
-    out += [("removed", g, "") for g in gone if g not in pairs]
-    out += [("added", "", c) for c in came if c not in pairs.values()]
-    return out
+    """(change_kind, old_path, new_path) of the least-cost script that turns one schema into the other, at the leaves."""
+    return TreeEdit({x["path"]: x for x in before}, {x["path"]: x for x in after}).script()
 
 
-def _scripts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        out = []
-        for tbl, file_id, written, before, after in pdf.itertuples(index=False):
-            lists = [[{**x, "shapes": list(x["shapes"]) if x["shapes"] is not None else []} for x in side] if side is not None else [] for side in (before, after)]
-            out += [(tbl, written, file_id, *c) for c in edit_script(*lists)]
-        yield pd.DataFrame(out, columns=["tbl_name", "written_ns", "file_id", "change_kind", "old_path", "new_path"])
+def _scripts(structures: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for tbl, file_id, written, before, after in pdf.itertuples(index=False):
+                sides = [{x["path"]: {**x, "shapes": list(x["shapes"]) if x["shapes"] is not None else []} for x in (side if side is not None else [])} for side in (before, after)]
+                tree = TreeEdit(*sides)
+                out += [(tbl, written, file_id, *c, "leaf") for c in tree.script()]
+                if structures:
+                    out += [(tbl, written, file_id, *c, "structure") for c in tree.structure_script()]
+            yield pd.DataFrame(out, columns=["tbl_name", "written_ns", "file_id", "change_kind", "old_path", "new_path", "node"])
+
+    return run
 
 
 def _by_file(files: DataFrame, every: DataFrame) -> DataFrame:
@@ -276,8 +387,9 @@ def _by_file(files: DataFrame, every: DataFrame) -> DataFrame:
     return every.groupBy("file_id").agg(F.collect_list(fields).alias("fields"))
 
 
-def changes(files: DataFrame, records: DataFrame, every: DataFrame | None = None) -> DataFrame:
-    """(tbl_name, written_ns, file_id, change_kind, old_path, new_path) of each file against the one before it.
+def scripts(files: DataFrame, records: DataFrame, every: DataFrame | None = None, structures: bool = True) -> DataFrame:
+    """(tbl_name, written_ns, file_id, change_kind, old_path, new_path, node) of each file against the one before it; ``node`` is ``leaf`` or,
+    with ``structures``, ``structure`` for an inner node that was added, removed, or renamed or moved as a whole.
 
     Files of a table are ordered by ``written_ns``, then ``file_id``; those without table name or id are left out, and the
     first file of a table has no changes. Only a file's id and time take part in the ordering; schemas are joined to it by
@@ -296,70 +408,114 @@ def changes(files: DataFrame, records: DataFrame, every: DataFrame | None = None
         .select("tbl_name", "file_id", "written_ns", "before", "after")
     )
     return pairs.mapInPandas(
-        _scripts, "tbl_name string, written_ns long, file_id long, change_kind string, old_path string, new_path string"
+        _scripts(structures), "tbl_name string, written_ns long, file_id long, change_kind string, old_path string, new_path string, node string"
     )
 
 
-def _compile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spells of paths: from a file's time on, which field of the consistent table a path stands for."""
-    pdf = pdf.sort_values(["written_ns", "file_id"])
-    spells, now, fields, used = [], {}, {}, set()
+def changes(files: DataFrame, records: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """(tbl_name, written_ns, file_id, change_kind, old_path, new_path): the scripts at the leaves."""
+    return scripts(files, records, every, False).drop("node")
+
 
-    def fresh(path: str) -> int:
-        fields[len(fields)] = path
-        return len(fields) - 1
+def _apply_range(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The scripts of a range of files, applied to paths that stand for whatever they are before the range.
 
-    for (written, file_id), rows in pdf.groupby(["written_ns", "file_id"], sort=False):
+    Rows of kind ``use`` give what a path of a file stands for: ``s:path``, what that path was before the range, or ``b:n``, the n-th that
+    began in it. Rows of kind ``end`` give of each of these the path at the end (null if it is gone) and the last path that it had.
+    """
+    tbl, part = pdf.tbl_name.iloc[0], int(pdf["part"].iloc[0])
+    now: dict[str, str] = {}
+    last: dict[str, str] = {}
+    touched: set[str] = set()
+    born, out = 0, []
+
+    def at(path: str) -> str:
+        if path not in now:
+            ref = f"s:{path}" if path not in touched else None
+            if ref is None:  # not there any more, and not said to come back
+                return birth(path)
+            now[path], last[ref] = ref, path
+            touched.add(path)
+        return now[path]
+
+    def birth(path: str) -> str:
+        nonlocal born
+        born += 1
+        ref = f"b:{born - 1:09d}"
+        now[path], last[ref] = ref, path
+        touched.add(path)
+        return ref
+
+    for (_, file_id), rows in pdf.sort_values(["idx", "turn", "old_path", "new_path"]).groupby(["idx", "file_id"], sort=False):
+        edits = rows[rows.turn == 0]
         moved = []
-        for kind, a, z in rows[["change_kind", "old_path", "new_path"]].itertuples(index=False):
-            if kind == "renamed":
-                moved.append((z, now.pop(a) if a in now else fresh(a)))
-            elif kind == "removed":
-                now.pop(a, None)
-            elif kind == "added":
-                moved.append((z, fresh(z)))
-        for path, field in moved:
-            now[path] = field
+        for kind, a, z in edits[["change_kind", "old_path", "new_path"]].itertuples(index=False):
+            if kind in ("renamed", "removed"):
+                ref = at(a)
+                del now[a]
+                if kind == "renamed":
+                    moved.append((z, ref))
+        for path, ref in moved:
+            now[path], last[ref] = ref, path
+            touched.add(path)
+        for path in edits.new_path[edits.change_kind == "added"]:
+            birth(path)
+        out += [(tbl, part, "use", int(file_id), path, kind, at(path), None, None) for path, kind in rows[rows.turn == 1][["new_path", "type"]].itertuples(index=False)]
+    ends = {ref: path for path, ref in now.items()}
+    out += [(tbl, part, "end", None, None, None, ref, ends.get(ref), path) for ref, path in last.items()]
+    return pd.DataFrame(out, columns=["tbl_name", "part", "kind", "file_id", "path", "type", "ref", "ends", "last"])
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The mappings of a table's ranges, one after the other: which field each ``ref`` is, by the last path that the field had."""
+    now: dict[str, int] = {}
+    fields: list[str] = []
+    refs = []
+    for part, rows in pdf.sort_values(["part", "ref"]).groupby("part", sort=True):
+        ends = []
+        for ref, end, path in rows[["ref", "ends", "last"]].itertuples(index=False):
+            field = now.pop(ref[2:], None) if ref.startswith("s:") else None
+            if field is None:
+                field = len(fields)
+                fields.append(path)
             fields[field] = path
-            spells.append((path, written, file_id, field))
-    out = []
-    for path, written, file_id, field in spells:
-        out.append((pdf.tbl_name.iloc[0], path, written, file_id, field))
-    names = {}
-    for field, path in fields.items():  # two fields may have ended under one path, one after the other
+            refs.append((part, ref, field))
+            if end is not None:
+                ends.append((end, field))
+        now.update(ends)
+    names, used = [], set()
+    for path in fields:  # two fields may have ended under one path, one after the other
         name, k = path, 2
         while name in used:
             name, k = f"{path}#{k}", k + 1
         used.add(name)
-        names[field] = name
-    return pd.DataFrame([(t, p, w, f, names[x]) for t, p, w, f, x in out], columns=["tbl_name", "path", "since_ns", "since_file", "field"])
+        names.append(name)
+    return pd.DataFrame([(pdf.tbl_name.iloc[0], p, r, names[f]) for p, r, f in refs], columns=["tbl_name", "part", "ref", "field"])
 
 
-def projections(files: DataFrame, records: DataFrame) -> DataFrame:
+def projections(files: DataFrame, records: DataFrame, size: int = RANGE) -> DataFrame:
     """(tbl_name, file_id, path, field, type): for each path of each file the field that it is in the consistent table.
 
-    A field is called by its last path. Only a table's changes are gone through in order, not its files or records.
+    A field is called by its last path. The scripts of ``size`` consecutive files are composed in one task, so a table with most of the files is
+    spread; what is gone through per table are the paths known at the end of each range.
     """
     every = materialize(leaves(files, records), "every")
-    found = materialize(changes(files, records, every), "changes")
+    found = changes(files, records, every).where("change_kind != 'retyped'")
     order = Window.partitionBy("tbl_name").orderBy("written_ns", "file_id")
-    listed = files.where("tbl_name is not null and file_id is not null").select("tbl_name", "file_id", "written_ns")
-    first = listed.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
-    start = every.join(first, "file_id").select("tbl_name", "written_ns", "file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_path"), F.col("path").alias("new_path"))
-    spells = found.where("change_kind != 'retyped'").unionByName(start).groupBy("tbl_name").applyInPandas(
-        _compile, "tbl_name string, path string, since_ns long, since_file long, field string"
-    )
-    use = every.select("file_id", "path", "type").join(listed, "file_id")
-    # the spell that a file's path falls in: the last that began at or before the file
-    merged = use.select("tbl_name", "path", F.col("written_ns").alias("at"), "file_id", "type", F.lit(1).alias("turn"), F.lit(None).cast("string").alias("field")).unionByName(
-        spells.select("tbl_name", "path", F.col("since_ns").alias("at"), F.col("since_file").alias("file_id"), F.lit(None).cast("string").alias("type"), F.lit(0).alias("turn"), "field")
-    )
-    carry = Window.partitionBy("tbl_name", "path").orderBy("at", "file_id", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        merged.withColumn("field", F.last("field", ignorenulls=True).over(carry))
-        .where("turn = 1")
-        .select("tbl_name", "file_id", "path", F.coalesce("field", "path").alias("field"), "type")
+    listed = files.where("tbl_name is not null and file_id is not null").select("tbl_name", "file_id", "written_ns").withColumn("idx", F.row_number().over(order) - 1)
+    listed = materialize(listed.select("tbl_name", "file_id", "idx", F.floor(F.col("idx") / F.lit(size)).cast("int").alias("part")), "listed")
+    uses = every.select("file_id", "path", "type").join(listed, "file_id")
+    none = F.lit(None).cast("string")
+    row = lambda df, turn, kind, old, new, type: df.select("tbl_name", "part", "idx", "file_id", F.lit(turn).alias("turn"), kind.alias("change_kind"), old.alias("old_path"), new.alias("new_path"), type.alias("type"))
+    edits = row(found.drop("tbl_name").join(listed, "file_id"), 0, F.col("change_kind"), F.col("old_path"), F.col("new_path"), none)
+    first = row(uses.where("idx = 0"), 0, F.lit("added"), F.lit(""), F.col("path"), none)
+    used = row(uses, 1, none, F.lit(""), F.col("path"), F.col("type"))
+    ranged = edits.unionByName(first).unionByName(used).groupBy("tbl_name", "part").applyInPandas(
+        _apply_range, "tbl_name string, part int, kind string, file_id long, path string, type string, ref string, ends string, last string"
     )
+    ranged = materialize(ranged, "ranges")
+    names = ranged.where("kind = 'end'").groupBy("tbl_name").applyInPandas(_compose, "tbl_name string, part int, ref string, field string")
+    return ranged.where("kind = 'use'").join(names, ["tbl_name", "part", "ref"]).select("tbl_name", "file_id", "path", "field", "type")
 
 
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -67,6 +67,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(load(spark, d, "schema_files"), load(spark, d, "raw_records")).drop("tbl_name", "written_ns")
 
 
+def p6_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole edit scripts, moves and renamings of structures included."""
+    return schema_drift.scripts(load(spark, d, "schema_files"), load(spark, d, "raw_records")).drop("tbl_name", "written_ns")
+
+
 def p6_projections(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.projections(load(spark, d, "schema_files"), load(spark, d, "raw_records"))
 
@@ -76,7 +81,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_method, p5_found, p5_flags, p6_found, p6_projections, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_method, p5_found, p5_flags, p6_found, p6_scripts, p6_projections, p6_table)}
 
 _PER_KEY = """
 SELECT {key}, count(*) AS n, min({time}) AS {first}, max({time}) AS {last},

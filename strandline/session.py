@@ -52,13 +52,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost
-    executors, and lets several consumers share one computation. The table lives as long as the folder."""
+    executors, and lets several consumers share one computation. The table lives until ``release`` or the end of the program."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(release, spark)
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` has written; results that are still to be read from them can't be any more."""
+    while _MADE:
+        path = _MADE.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: the folder stays
+            return
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once per Spark context."""
     sc = spark.sparkContext

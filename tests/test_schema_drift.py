@@ -100,6 +100,65 @@ def test_assignment_is_of_least_cost(cost):
     assert sum(cost[i][j] for i, j in enumerate(got)) == best
 
 
+def tree(*leaves):
+    return {x["path"]: x for x in leaves}
+
+
+def test_subtrees_are_moved_as_such():
+    parts = [("temp", [20, 21]), ("rate", [400, 410]), ("load", [0.1, 0.2])]
+    old = tree(*[leaf(f"drive.{n}", values=v) for n, v in parts], leaf("mode", "string", "mode of operation"))
+    for root in ("unit.drive", "motor", "unit.motor"):
+        t = sd.TreeEdit(old, tree(*[leaf(f"{root}.{n}", values=v) for n, v in parts], leaf("mode", "string", "mode of operation")))
+        assert sorted(t.script()) == sorted(("renamed", f"drive.{n}", f"{root}.{n}") for n, _ in parts)
+        assert ("renamed", "drive", root) in t.structure_script()
+        assert t.distance("", "") >= 0 and all(k != "removed" for k, _, _ in t.structure_script())
+    # of two leaves that cost the same the one in the same structure is it
+    t = sd.TreeEdit(tree(leaf("a.x", values=[5, 6]), leaf("a.k", "bool")), tree(leaf("b.x", values=[5, 6]), leaf("c.x", values=[5, 6]), leaf("b.k", "bool")))
+    assert ("renamed", "a.x", "b.x") in t.script() and t.structure_script() == [("renamed", "a", "b"), ("added", "", "c")]
+    assert sd.TreeEdit({}, {}).script() == [] == sd.TreeEdit(old, old).structure_script()
+    deep = sd.TreeEdit(tree(leaf("a.b.c.d", values=[1, 2])), tree(leaf("a.d", values=[1, 2])))
+    assert deep.script() == [("renamed", "a.b.c.d", "a.d")] and deep.structure_script() == [("removed", "a.b", ""), ("removed", "a.b.c", "")]
+
+
+NAMES = st.sampled_from(["a", "b", "s.a", "s.b", "t.a", "t.u.a", "t.u.b", "c"])
+LEAVES = st.dictionaries(NAMES, st.tuples(st.sampled_from(["float", "int"]), st.sampled_from([1, 2, 50, 900])), max_size=5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(LEAVES, LEAVES)
+def test_scripts_are_of_least_cost(before, after):
+    old, new = ({p: leaf(p, k, values=[v, v + 1]) for p, (k, v) in x.items()} for x in (before, after))
+    t = sd.TreeEdit(old, new)
+    gone, came = [p for p in sorted(old) if p not in new], [p for p in sorted(new) if p not in old]
+    price = lambda pairs: 2 * (sum(t.leaf(p, q) for p, q in pairs)) + 2 * (len(gone) + len(came) - 2 * len(pairs))
+    best = min(
+        price(list(zip(some, others)))
+        for k in range(min(len(gone), len(came)) + 1) for some in itertools.combinations(gone, k) for others in itertools.permutations(came, k)
+    )
+    assert price(list(t.renamed.items())) <= best + 2 * 5 * sd.MOVE + 1e-9
+    script = t.script()
+    assert sorted(x[1] for x in script if x[0] in ("renamed", "removed")) == gone and sorted(x[2] for x in script if x[0] in ("renamed", "added")) == came
+
+
+def test_projections_do_not_depend_on_ranges(spark):
+    temp = [20.5, 21.5]
+    names = ["a", "a", "b", "x.b", "x.b", "a", "c"]
+    files = [(i, "t", i, 0, None, ["k", p.split(".")[0]], ["int64", "map" if "." in p else "float64"]) for i, p in enumerate(names, 1)]
+    files += [(8, "t", 8, 0, None, ["k"], ["int64"]), (9, "t", 9, 0, None, ["k", "c"], ["int64", "float64"])]  # gone, and another one comes
+    nest = lambda p, v: {p: v} if "." not in p else {p.split(".")[0]: nest(p.split(".", 1)[1], v)}
+    records = [(i, json.dumps({"k": 1, **nest(p, t)})) for i, p in enumerate(names, 1) for t in temp] + [(8, '{"k": 1}'), (9, '{"k": 1, "c": 7000.5}')]
+    f, r, _ = run(spark, files, records)
+    got = [{(x.file_id, x.path): x.field for x in sd.projections(f, r, size).collect()} for size in (1, 2, 4, 500)]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert {got[0][i, p] for i, p in enumerate(names, 1)} == {"c"} and got[0][9, "c"] == "c#2" and all(got[0][i, "k"] == "k" for i in range(1, 10))
+
+
+def test_very_large_numbers_count(spark):
+    f, r, _ = run(spark, [(1, "t", 1, 0, None, ["a"], ["float64"])], [(1, '{"a": 1e300}'), (1, '{"a": -1e999}'), (1, '{"a": NaN}'), (1, '{"a": 1%s}' % ("0" * 400))])
+    row = sd.members(r).first()
+    assert (row.n_null, row.n_int, row.n_frac) == (1, 1, 2) and row.s1 == 1e140 and row.s2 == 3e280
+
+
 def test_whole_tables(spark, sf01):
     got = [tuple(r) for r in problems.p6_found(spark, sf01).select("file_id", "change_kind", "old_path", "new_path").collect()]
     assert len(got) == len(set(got)) > 100
