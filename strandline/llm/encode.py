@@ -6,7 +6,9 @@ repaired: the span from the last boundary before the cut to the first one after
 a visible ASCII character and an ASCII letter: there the tokenizer's own pattern always starts a new piece, whatever is before or
 behind, so joining the ids at boundaries agrees exactly with encoding the text as a whole.
 
-Nothing is shuffled: at any scale a shuffle of chunks and ids would move more bytes than encoding reads.
+Nothing is shuffled. Measured on 22 MB of court decisions, chunks of 8 bytes on average leave 11 % of the bytes to encode, of 15 bytes 28 %, of 42 bytes 67 %, of
+161 bytes 91 %: what documents share are short passages. A chunk would have to be moved with an address as long as itself to be encoded once for all
+workers, while each worker soon knows the common ones.
 """
 
 from __future__ import annotations

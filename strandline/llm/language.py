@@ -16,13 +16,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.llm.encode import bounds
 from strandline.session import spread
 
-#: Bytes of a window; documents and windows of each that the network is fitted on at most; least share of a language.
-LENGTH, FIT_DOCUMENTS, FIT_WINDOWS, LEAST_SHARE = 64, 3000, 8, 0.01
+#: Bytes of a window; labelled documents of each language, and windows of each of them, that the network is fitted on at most (on average).
+LENGTH, FIT_DOCUMENTS, FIT_WINDOWS = 64, 500, 8
+#: One document in so many is held out to see whether a label names a language of its own: at least this share of its windows must be told as it, and
+#: at least this share of the windows told as it must be its own.
+HELD_OUT, CONFIRMED = 8, 0.5
+#: A rare language's windows are repeated in training, at most so often, until it has a quarter of the windows of a language on average.
+REPEAT = 20
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 16, 6
 #: Windows end where the rolling hash says so, on average 64 bytes apart, so that passages that occur again give the same ones.
 CUT = np.uint32(63)
@@ -176,11 +181,13 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: i
     params = [net.embed, net.filters, net.bias, net.out, net.out_bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, size = 0, 128
-    rows = np.arange(len(windows))
+    count = np.bincount(labels, minlength=len(classes))
+    times = np.clip(len(labels) // (4 * len(classes) * np.maximum(count, 1)), 1, REPEAT)
+    rows = np.repeat(np.arange(len(windows)), times[labels])
     for epoch in range(epochs):
         if epoch == epochs // 2:
             p = net.probabilities(windows)[np.arange(len(labels)), labels]
-            rows = rows[p > 0.05] if (p > 0.05).sum() > 0.5 * len(p) else rows
+            rows = rows[p[rows] > 0.05] if (p > 0.05).sum() > 0.5 * len(p) else rows
         order = rng.permutation(rows)
         for i in range(0, len(order), size):
             pick = order[i : i + size]
@@ -272,38 +279,84 @@ class Reader:
         return sums(table), sums(logs), np.bincount(of, words, minlength=len(texts))
 
 
+def code_column(label: Column) -> Column:
+    """:func:`label_code` as an expression."""
+    codes = F.create_map(*[F.lit(x) for pair in _CODE.items() for x in pair])
+    trimmed = F.regexp_replace(F.lower(label), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    return F.try_element_at(codes, F.split(trimmed, r"[-_\s]")[0])
+
+
+_BUCKETS = 1 << 20
+
+
 def _sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = []
-        for doc, label, text in pdf.itertuples(index=False):
-            code = label_code(label)
-            if code is None:
-                continue
+        for doc, code, text in pdf.itertuples(index=False):
             windows, _, words = cut_windows([words_only(t) for _, t in paragraphs(text)])
             good = [w for w, n in zip(windows.to_pylist(), words) if n >= 2]
-            rng = np.random.default_rng(abs(int(doc or 0)) % 2**32)
-            out += [(code, good[i]) for i in sorted(rng.permutation(len(good))[:FIT_WINDOWS])]
-        yield pd.DataFrame(out, columns=["lang", "window"])
+            rng = np.random.default_rng(abs(int(doc)) % 2**32)
+            out += [(doc, code, good[i]) for i in sorted(rng.permutation(len(good))[:FIT_WINDOWS])]
+        yield pd.DataFrame(out, columns=["doc", "lang", "window"])
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", documents: int = FIT_DOCUMENTS) -> Network:
-    """The network, trained on windows of labelled documents chosen by a hash of their key: of all up to ``documents``, beyond that of
-    at most twice as many on average, with FIT_WINDOWS windows each.
+    """The network, trained on FIT_WINDOWS windows of each of at most ``documents`` labelled documents (on average) of every language, chosen by a hash of their
+    key; so a rare language has as many as a common one, or all that it has.
 
-    Languages that fewer than LEAST_SHARE of the sampled windows are labelled as are no classes. Without any labelled
+    Every language that some documents are labelled as is a class, however rare, if it is one of its own: documents that were held out must be told as it
+    for the most part, and others must not. A code that is only ever put on texts of other languages fails that, and is dropped. Without any labelled
     paragraph there is nothing to fit: ValueError.
     """
-    n = df.count()
-    chosen = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    chosen = chosen.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // documents))) == 0)
-    got = spread(chosen.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t"))).mapInPandas(_sample, "lang string, window binary").toPandas()
-    got = got.assign(window=got.window.map(bytes)).sort_values(["lang", "window"]).reset_index(drop=True)
-    share = got.lang.value_counts(normalize=True)
-    classes = sorted(share[share >= LEAST_SHARE].index)
-    got = got[got.lang.isin(classes)]
+    labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).withColumn("_code", code_column(F.col(label)))
+    counts = {r["_code"]: r["n"] for r in labelled.where("_code is not null").groupBy("_code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per ISO code
+    if not counts:
+        raise ValueError("no labelled paragraph to fit on")
+    quota = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(_BUCKETS, -(-documents * _BUCKETS // n)))])
+    chosen = labelled.where(F.pmod(F.xxhash64(key), F.lit(_BUCKETS)) < F.try_element_at(quota, F.col("_code")))
+    rows = chosen.select(F.col(key).cast("long").alias("k"), F.col("_code").alias("l"), F.col(text).alias("t"))
+    got = spread(rows).mapInPandas(_sample, "doc long, lang string, window binary").toPandas()
     if not len(got):
         raise ValueError("no labelled paragraph to fit on")
-    return train(as_matrix(list(got.window)), got.lang.map(classes.index).to_numpy(), classes)
+    got = got.assign(window=got.window.map(bytes)).sort_values(["lang", "doc", "window"]).reset_index(drop=True)
+    return _fit(got)
+
+
+def _fit(got: pd.DataFrame) -> Network:
+    # of every language's documents each HELD_OUT-th, from the second on
+    nth = got.groupby("lang").doc.transform(lambda d: pd.factorize(d)[0])
+    held = (nth % HELD_OUT == 1).to_numpy()
+    classes = sorted(got.lang.unique())
+    windows, labels = as_matrix(list(got.window)), got.lang.map(classes.index).to_numpy()
+    net = train(windows[~held], labels[~held], classes)
+    told = net.probabilities(windows).argmax(axis=1)
+    confirmed = []
+    for i, c in enumerate(classes):
+        test = held if ((labels == i) & held).any() else ~held  # a single document is judged by itself
+        own, as_it = (labels == i) & test, (told == i) & test
+        if (own & as_it).sum() >= CONFIRMED * max(own.sum(), as_it.sum()):
+            confirmed.append(c)
+    if len(confirmed) in (0, len(classes)):
+        return net
+    keep = got.lang.isin(confirmed).to_numpy() & ~held
+    return train(windows[keep], got.lang[keep].map(confirmed.index).to_numpy(), confirmed)
+
+
+_NET = "embed binary, filters binary, bias binary, out binary, out_bias binary, classes array<string>"
+
+
+def save(net: Network, spark: SparkSession, path: str) -> None:
+    """Write a network as a table of one row."""
+    parts = [bytearray(np.ascontiguousarray(getattr(net, f), dtype=np.float32).tobytes()) for f in ("embed", "filters", "bias", "out", "out_bias")]
+    spark.createDataFrame([(*parts, net.classes)], _NET).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def restore(spark: SparkSession, path: str) -> Network:
+    """A network that :func:`save` wrote."""
+    r = spark.read.schema(_NET).parquet(path).first()
+    total, kinds = len(WIDTHS) * FILTERS, len(r["classes"])
+    shapes = {"embed": (256, EMBED), "filters": (max(WIDTHS) * EMBED, total), "bias": (total,), "out": (total, kinds), "out_bias": (kinds,)}
+    return Network(*[np.frombuffer(r[f], dtype=np.float32).reshape(x) for f, x in shapes.items()], list(r["classes"]))
 
 
 _COLUMNS = "doc_id long, para_no long, lang string, confidence double, words long, label string, numbered boolean"

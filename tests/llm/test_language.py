@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import language as L, queries
 
@@ -85,3 +86,32 @@ def test_cases(spark, net):
     assert L.assign_languages(df.limit(0), net).count() == 0
     with pytest.raises(ValueError):
         L.fit(df.limit(0))
+
+
+def test_label_codes_on_both_sides(spark):
+    labels = ["de", " DE ", "ger", "de-AT", "en_GB", "POL", "\tnl ", "", " ", "??", "und", "12", None, "fr FR", "\u00a0it"]
+    rows = spark.createDataFrame([(x,) for x in labels], "l string").select("l", L.code_column(F.col("l")).alias("c")).collect()
+    assert all(r.c == L.label_code(r.l) for r in rows), [(r.l, r.c) for r in rows if r.c != L.label_code(r.l)]
+
+
+def test_rare_languages_are_classes_and_wrong_codes_are_not(spark, sf01, net):
+    rng = np.random.default_rng(1)
+    stems = ["ja", "on", "ei", "tuomio", "oikeus", "kantaja", "vastaaja", "hakemus", "kuitenkin", "asiassa", "mukaan", "sopimuksen", "velvollisuus", "käsittely", "päätös", "hylätään"]
+    text = lambda: "\n".join(f"{i}. " + " ".join(rng.choice(stems, 40)) for i in range(1, 5))
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "lang", "text")
+    rare = spark.createDataFrame([(10**6 + i, "fin", text()) for i in range(4)], "doc_id long, lang string, text string")  # 0.4 %
+    wrong = docs.where("doc_id % 97 = 0").withColumn("lang", F.lit("sv"))
+    german = docs.where("doc_id % 23 = 1 and lang = 'de'").withColumn("lang", F.lit("da"))  # a code that is put on one language only
+    rest = docs.where("doc_id % 97 != 0 and not (doc_id % 23 = 1 and lang <=> 'de')")
+    both = L.fit(rest.unionByName(rare).unionByName(wrong).unionByName(german))
+    assert german.count() > 1 and "da" not in both.classes
+    assert "fi" in both.classes and "sv" not in both.classes and set(net.classes) < set(both.classes)
+    told = L.assign_languages(spark.createDataFrame([(1, "xx", text())], "doc_id long, lang string, text string"), both).where("para_no = 0").first()
+    assert told.lang == "fi"
+
+
+def test_saved_network_tells_the_same(spark, net, tmp_path):
+    L.save(net, spark, f"file://{tmp_path}/net")
+    again = L.restore(spark, f"file://{tmp_path}/net")
+    w = L.as_matrix([b"the court held that the appeal", b"das gericht hat entschieden"])
+    assert again.classes == net.classes and (again.probabilities(w) == net.probabilities(w)).all()
