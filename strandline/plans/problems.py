@@ -76,12 +76,17 @@ def p6_projections(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.projections(load(spark, d, "schema_files"), load(spark, d, "raw_records"))
 
 
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    """Which records are in the consistent tables, and which of them can be read."""
+    return schema_drift.consistent_table(load(spark, d, "schema_files"), load(spark, d, "raw_records")).drop("fields")
+
+
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     rows = schema_drift.consistent_table(load(spark, d, "schema_files"), load(spark, d, "raw_records"))
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_method, p5_found, p5_flags, p6_found, p6_scripts, p6_projections, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wal_keys, p1_header_keys, p3_found, p3_grid, p5_method, p5_found, p5_flags, p6_found, p6_scripts, p6_projections, p6_table, p6_records)}
 
 _PER_KEY = """
 SELECT {key}, count(*) AS n, min({time}) AS {first}, max({time}) AS {last},
@@ -108,8 +113,49 @@ f AS (SELECT g.tag_key, g.step, g.day, g.slot_ns, coalesce(s.n, 0) AS n, s.v,
   FROM g LEFT JOIN s USING (tag_key, step, slot_ns)
   WINDOW w AS (PARTITION BY g.tag_key, g.day ORDER BY g.slot_ns))
 """
+# The rules over whole series. The usual scatter is taken from the operator's bins of magnitude, 32 to a doubling: from the median magnitude on, six times over.
+_P5 = """
+WITH r AS (
+  SELECT row_id, tag, ts_ns, val FROM tag_points WHERE tag IS NOT NULL AND ts_ns IS NOT NULL AND val IS NOT NULL AND NOT isnan(val)),
+x AS (SELECT tag, ts_ns, greatest(least(arg_min(val, row_id), 1e150), -1e150) AS v FROM r GROUP BY tag, ts_ns),
+l AS (
+  SELECT tag, ts_ns, v, row_number() OVER o AS i, count(*) OVER (PARTITION BY tag) AS len, coalesce(abs(v - lag(v) OVER o) <= 0.000001, false) AS same,
+    v - median(v) OVER (o ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS r,
+    median(v) OVER (o ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS mb, median(v) OVER (o ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS ma
+  FROM x WINDOW o AS (PARTITION BY tag ORDER BY ts_ns)),
+h AS (
+  SELECT tag, e, count(*)::DOUBLE AS n, sum(r) AS s, sum(r * r) AS q
+  FROM (SELECT tag, r, CASE WHEN r = 0 THEN 0 ELSE pow(2, (floor(log2(abs(r)) * 32) + 1) / 32) END AS e FROM l) GROUP BY tag, e),
+c AS (SELECT tag, e, sum(n) OVER (PARTITION BY tag ORDER BY e) AS upto, sum(n) OVER (PARTITION BY tag) AS total FROM h),
+s0 AS (SELECT tag, 1.4826 * min(e) AS s FROM c WHERE upto >= 0.5 * total GROUP BY tag),
+"""
+_P5 += "".join(
+    f"s{k} AS (SELECT tag, sqrt(greatest(0, sum(h.q) / sum(h.n) - pow(sum(h.s) / sum(h.n), 2))) AS s FROM h JOIN s{k - 1} p USING (tag) WHERE e <= 4 * p.s GROUP BY tag),\n" for k in range(1, 7)
+)
+_P5 += """
+u AS (SELECT tag, coalesce(s6.s, s0.s) AS s FROM s0 LEFT JOIN s6 USING (tag)),
+t AS (SELECT tag, avg(same::INT) FILTER (WHERE i > 1) AS still FROM l GROUP BY tag),
+o AS (SELECT l.*, u.s, abs(l.r) > 9 * u.s AND abs(l.r) > 0.000001 AS far FROM l JOIN u USING (tag)),
+g AS (
+  SELECT *, sum(1 - far::INT) OVER w AS spike_run, sum(1 - same::INT) OVER w AS still_run FROM o WINDOW w AS (PARTITION BY tag ORDER BY ts_ns)),
+k AS (
+  SELECT tag, spike_run FROM (SELECT *, first(mb ORDER BY ts_ns) OVER p AS b, last(ma ORDER BY ts_ns) OVER p AS a FROM g WHERE far
+    WINDOW p AS (PARTITION BY tag, spike_run ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+  GROUP BY tag, spike_run
+  HAVING count(*) <= 3 AND min(i) > 1 AND max(i) < any_value(len)
+     AND bool_and(abs(v - b) > 9 * s AND abs(v - a) > 9 * s AND (v - b) * (v - a) > 0)),
+y AS (
+  SELECT g.tag, g.ts_ns, coalesce(g.v < d.phys_min, false) OR coalesce(g.v > d.phys_max, false) AS impossible,
+    count(*) OVER (PARTITION BY g.tag, still_run) >= 12 AND coalesce(t.still, 0) < 0.5 AS stuck, g.far AND k.tag IS NOT NULL AS spike
+  FROM g LEFT JOIN t USING (tag) LEFT JOIN tag_dictionary d USING (tag) LEFT JOIN k ON k.tag = g.tag AND k.spike_run = g.spike_run),
+z AS (SELECT r.row_id, r.tag, impossible, stuck, spike FROM r JOIN y USING (tag, ts_ns) WHERE impossible OR stuck OR spike)
+"""
 
 ORACLES = {
+    "p5_found": _P5 + "SELECT row_id FROM z",
+    "p5_flags": _P5 + "SELECT row_id, tag, impossible, stuck, spike FROM z",
+    "p6_records": """SELECT record_id, raw_records.file_id, tbl_name, coalesce(json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT', false) AS readable
+FROM raw_records LEFT JOIN schema_files USING (file_id) WHERE raw_records.file_id IS NOT NULL""",
     "p1_found": """
 SELECT 'wal_entries' AS tbl_name, tag_key FROM wal_entries GROUP BY tag_key
 HAVING tag_key IS NOT NULL AND tag_key <> 0 AND count(*) * 100 >= 3 * (SELECT count(*) FROM wal_entries)
