@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strandline.session import free_names
+
 DEFAULT_BUDGET = 10_000
 HOUR_NS = 3_600_000_000_000
 MODES = ("avg", "min", "max", "first")
@@ -136,25 +138,36 @@ def fold(ts: np.ndarray, v: np.ndarray, end: int, budget: int, mode: str) -> tup
     return np.append(t, t1), np.append(x, x1)
 
 
+def pieces(tags: pa.Array) -> Iterator[tuple[str, int, int]]:
+    """(tag, from, to) of each run of one tag."""
+    coded = tags.dictionary_encode()
+    at, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    edges = (np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()
+    for a, z in zip([0, *edges], [*edges, len(at)]):
+        yield names[at[a]], a, z
+
+
 def _streams(budget: int, mode: str):
     """Over partitions sorted by (tag, ts, order): one series after the other, a batch at a time."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag, series = None, None
-        frame = lambda tag, got: pd.DataFrame({"tag": tag, "ts_ns": got[0], "value": got[1]})
-        for pdf in frames:
-            if not len(pdf):
+
+        def rows(tag, got):
+            return pa.RecordBatch.from_arrays([pa.array([tag] * len(got[0]), pa.string()), pa.array(got[0]), pa.array(got[1], from_pandas=True)], names=["tag", "ts_ns", "value"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            tags, ts, v = pdf.tag.to_numpy(), pdf.ts_ns.to_numpy(np.int64), pdf.value.to_numpy(np.float64)
-            edges = np.flatnonzero(tags[1:] != tags[:-1]) + 1
-            for a, z in zip([0, *edges], [*edges, len(pdf)]):
-                if series is None or tags[a] != tag:
+            ts, v, until = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            for name, a, z in pieces(batch.column(0)):
+                if series is None or name != tag:
                     if series is not None:
-                        yield frame(tag, series.close())
-                    tag, series = tags[a], SeriesFold(int(pdf.until.iloc[a]), budget, mode)
-                yield frame(tag, series.feed(ts[a:z], v[a:z]))
+                        yield rows(tag, series.close())
+                    tag, series = name, SeriesFold(int(until[a]), budget, mode)
+                yield rows(tag, series.feed(ts[a:z], v[a:z]))
         if series is not None:
-            yield frame(tag, series.close())
+            yield rows(tag, series.close())
 
     return run
 
@@ -192,7 +205,7 @@ def downsample(
         rows = rows.where(where)
     picked = rows.select("tag", F.col("ts_ns").cast("long"), F.col("value").cast("double"), *([F.col(order).alias("o")] if order else []))
     joined = picked.join(newest, "tag").repartition("tag").sortWithinPartitions("tag", "ts_ns", *(["o"] if order else []))
-    return joined.select("tag", "ts_ns", "value", "until").mapInPandas(_streams(budget, mode), "tag string, ts_ns long, value double")
+    return joined.select("tag", "ts_ns", "value", "until").mapInArrow(_streams(budget, mode), "tag string, ts_ns long, value double")
 
 
 def downsample_first(
@@ -211,7 +224,8 @@ def downsample_first(
 
 def _first_of(rows: DataFrame, order: str | None) -> DataFrame:
     pick = Window.partitionBy("tag", "ts_ns").orderBy(order or "ts_ns")
-    return rows.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n")
+    n = free_names(rows, "_n")[0]
+    return rows.withColumn(n, F.row_number().over(pick)).where(F.col(n) == 1).drop(n)
 
 
 def downsample_adaptive(
@@ -236,6 +250,6 @@ def downsample_adaptive(
         newest = series.where("tag is not null").groupBy("tag").agg(F.max("ts_ns").alias("until"))
     got = downsample(rows.withColumn("value", number), budget, mode, start, end, None, order, newest)
     # windows that opened on no number: the values that they opened on
-    opened = got.where("isnan(value)").select("tag", "ts_ns").distinct()
+    opened = got.where("value is null").select("tag", "ts_ns").distinct()
     others = _first_of(rows.join(opened, ["tag", "ts_ns"]), order).select("tag", "ts_ns", "value")
-    return got.where("not isnan(value)").withColumn("value", F.col("value").cast("variant")).unionByName(others)
+    return got.where("value is not null").withColumn("value", F.col("value").cast("variant")).unionByName(others)

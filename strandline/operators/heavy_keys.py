@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from strandline.session import materialize
+
 #: Items tracked by the sketch; its count error is at most 3.5 / TRACKED of the rows.
 TRACKED = 8192
 SALTS = 64
@@ -57,11 +59,13 @@ def per_key(
         light = rows.join(F.broadcast(names), "k", "left_anti")
         hot = rows.join(F.broadcast(names), "k")
         # salted, so that the final merge of a key's partials is spread too; numeric buffers keep it a hash aggregate
-        counted = (
+        # a row per heavy key, written since it is needed twice: as the result, and to fetch the latest values
+        counted = materialize(
             hot.groupBy("k", F.pmod(F.xxhash64("o"), F.lit(salts)).alias("salt"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
             .groupBy("k")
-            .agg(F.sum("n").alias("n"), F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"))
+            .agg(F.sum("n").alias("n"), F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts")),
+            "heavy",
         )
         tips = counted.select("k", F.col("last_ts").alias("t"))
         latest = (

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strandline.errors import EmptyValue, TimestampOutOfRange, TypeMismatch, UnsupportedFloat
 from strandline.functions.quantize import quantize
+from strandline.operators.downsample import pieces
+from strandline.session import free_names
 
 #: Arrival numbers per chunk of the running maximum.
 ARRIVALS = 1_000_000
@@ -43,14 +45,13 @@ def drop_late(df: DataFrame, arrival: str, chunk: int = ARRIVALS) -> DataFrame:
     The kept rows are those that reach the running maximum of time, which is built from chunks of the arrival number: each
     chunk's own running maximum, and the maximum of all chunks before it, so that one tag's rows spread over its chunks.
     """
-    cut = F.floor(F.col(arrival) / F.lit(chunk))
-    rows = df.where("tag is not null and ts_ns is not null").withColumn("_c", cut)
-    tops = rows.groupBy("tag", "_c").agg(F.max("ts_ns").alias("_top"))
-    before = tops.select("tag", "_c", F.max("_top").over(Window.partitionBy("tag").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    own = Window.partitionBy("tag", "_c").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    high = F.greatest(F.max("ts_ns").over(own), F.col("_before"))
-    joined = rows.join(before, ["tag", "_c"]).withColumn("_high", high)
-    return joined.where("_high is null or ts_ns >= _high").drop("_c", "_before", "_high")
+    c, top, before_, high = free_names(df, "_c", "_top", "_before", "_high")
+    rows = df.where("tag is not null and ts_ns is not null").withColumn(c, F.floor(F.col(arrival) / F.lit(chunk)))
+    tops = rows.groupBy("tag", c).agg(F.max("ts_ns").alias(top))
+    before = tops.select("tag", c, F.max(top).over(Window.partitionBy("tag").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)).alias(before_))
+    own = Window.partitionBy("tag", c).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(before, ["tag", c]).withColumn(high, F.greatest(F.max("ts_ns").over(own), F.col(before_)))
+    return joined.where(F.col(high).isNull() | (F.col("ts_ns") >= F.col(high))).drop(c, before_, high)
 
 
 def keep_mask(ts: np.ndarray, code: np.ndarray, min_interval: int, dedup: int, last: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int] | None]:
@@ -75,23 +76,23 @@ def keep_mask(ts: np.ndarray, code: np.ndarray, min_interval: int, dedup: int, l
     return kept, last
 
 
-def _thin(min_interval: int, dedup: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _thin(min_interval: int, dedup: int, code: str, last_ts: str, last_code: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag, last = None, None
-        for pdf in frames:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            tags = pdf.tag.to_numpy()
-            values = pdf["_v"].to_numpy()
-            edges = np.flatnonzero(tags[1:] != tags[:-1]) + 1
-            keep = np.zeros(len(pdf), dtype=bool)
-            for a, z in zip([0, *edges], [*edges, len(pdf)]):
-                if tags[a] != tag:
-                    tag, last = tags[a], None
-                    if "_last_ts" in pdf and not pd.isna(pdf["_last_ts"].iat[a]):
-                        last = int(pdf["_last_ts"].iat[a]), int(pdf["_last_v"].iat[a])
-                keep[a:z], last = keep_mask(pdf.ts_ns.to_numpy()[a:z], values[a:z], min_interval, dedup, last)
-            yield pdf[keep].drop(columns=["_v", "_last_ts", "_last_v"], errors="ignore")
+            names = batch.schema.names
+            ts, values = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("ts_ns", code))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for name, a, z in pieces(batch.column(names.index("tag"))):
+                if name != tag:
+                    tag, last = name, None
+                    if last_ts in names:
+                        at, what = (batch.column(names.index(c))[a].as_py() for c in (last_ts, last_code))
+                        last = None if at is None else (at, what)
+                keep[a:z], last = keep_mask(ts[a:z], values[a:z], min_interval, dedup, last)
+            yield batch.filter(pa.array(keep)).select([c for c in names if c not in (code, last_ts, last_code)])
 
     return run
 
@@ -104,13 +105,13 @@ def thin(df: DataFrame, min_interval_ns: int = 0, dedup_ns: int = 0, value: str
     with two numbers of state; nothing is gathered. Values are compared by a 64-bit hash. Null tags and times are left out.
     ``last`` (tag, ts_ns, ``value``) has the points that were kept before, one per tag: the first point of such a tag is judged against it.
     """
-    rows = df.where("tag is not null and ts_ns is not null").withColumn("_v", F.xxhash64(value))
+    names = free_names(df, "_v", "_last_ts", "_last_v")
+    rows = df.where("tag is not null and ts_ns is not null").withColumn(names[0], F.xxhash64(value))
     if last is not None:
-        # strings carry the two 64-bit numbers through pandas, where a null would make them doubles
-        known = last.select("tag", F.col("ts_ns").cast("string").alias("_last_ts"), F.xxhash64(value).cast("string").alias("_last_v"))
+        known = last.select("tag", F.col("ts_ns").alias(names[1]), F.xxhash64(value).alias(names[2]))
         rows = rows.join(known, "tag", "left")
     streams = rows.repartition("tag").sortWithinPartitions("tag", "ts_ns", *([order] if order else []))
-    return streams.select(*df.columns, "_v", *(["_last_ts", "_last_v"] if last is not None else [])).mapInPandas(_thin(min_interval_ns, dedup_ns), df.schema)
+    return streams.select(*df.columns, *(names if last is not None else names[:1])).mapInArrow(_thin(min_interval_ns, dedup_ns, *names), df.schema)
 
 
 def reorder(df: DataFrame, *order: str) -> DataFrame:

@@ -176,14 +176,14 @@ def _mixed(mode: str | int):
         value = F.when(F.pmod("event_id", F.lit(4)) == 0, F.lit("none").cast("variant")).otherwise(F.col("value").cast("variant"))
         db.append("mixed", events(spark, d, value), NOW)
         got = db.query("mixed", "view", T0, T1, 60, mode, now_ns=NOW)
-        return got.select("tag", "ts_ns", F.try_variant_get("value", "$", "double").alias("value"))
+        return got.select("tag", "ts_ns", F.try_variant_get("value", "$", "double").alias("value"), (F.schema_of_variant("value") == "STRING").alias("is_text"))
 
     return query
 
 
 _S_MIXED = f"SELECT event_type AS tag, epoch_us(ts) * 1000 AS ts_ns, CASE WHEN event_id % 4 <> 0 THEN {_UP} END AS value, event_id AS o FROM events WHERE event_type = 'view'"
 for _mode, _name in ((7, "avg"), ("min", "min"), (2, "max")):
-    _add(f"store_downsample_adaptive_{_name}", _mixed(_mode), chain_sql(_S_MIXED, 60, _name, f"s.ts_ns BETWEEN {T0} AND {T1}", f"least(max(ts_ns), {T1})"))
+    _add(f"store_downsample_adaptive_{_name}", _mixed(_mode), "SELECT *, value IS NULL AS is_text FROM (" + chain_sql(_S_MIXED, 60, _name, f"s.ts_ns BETWEEN {T0} AND {T1}", f"least(max(ts_ns), {T1})") + ")")
 
 
 def batch_write_count(spark: SparkSession, d: str) -> DataFrame:

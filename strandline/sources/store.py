@@ -25,7 +25,7 @@ from strandline.functions.predicates import build
 from strandline.functions.quantize import quantize
 from strandline.operators import ingest, reads
 from strandline.operators.downsample import HOUR_NS, downsample, downsample_adaptive, downsample_first
-from strandline.session import ship
+from strandline.session import ship, shuffle_width
 
 CODECS = ("zstd", "lz4", "snappy", "gzip", "none")
 DAY_NS = 86_400_000_000_000
@@ -36,7 +36,8 @@ class Config:
     """What can be set of a database; times in the unit of their name, 0 switches a rule off.
 
     ``sweep_s``: seconds between the sweeps that writing does where ``expiration_min`` is set. ``refuse_type_changes``: a member of an adaptive
-    table that changes its type within the rows written is an error instead of being stored as it is.
+    table that changes its type within the rows written is an error instead of being stored as it is. ``cluster``: the rows of a batch are brought
+    together by day, tag and time before they are written; without, each task writes its own rows sorted, which shuffles nothing and suits input in order of time. ``compact`` clusters in any case.
     """
 
     path: str
@@ -47,6 +48,7 @@ class Config:
     min_interval_ms: int = 0
     sweep_s: int = 60
     refuse_type_changes: bool = False
+    cluster: bool = True
 
 
 #: The codes of aggregations; any other one averages.
@@ -247,18 +249,19 @@ class Database:
         return rows.withColumn("day", reads.day_of(F.col("ts_ns")))
 
     def append(self, table: str, df: DataFrame, now_ns: int | None = None, strict: bool = True, source: str | None = None, judged: bool = False) -> int:
-        """Write a DataFrame of any size as one batch; gives the batch's number. Rows are spread by (day, tag hash), so a tag with most of the
-        rows has a task per day. What the same ``source`` wrote before is replaced, so that a replay counts once."""
+        """Write a DataFrame of any size as one batch; gives the batch's number. Rows are spread by ranges of (day, tag, time) of equal size, so a tag
+        with most of the rows is spread too. What the same ``source`` wrote before is replaced, so that a replay counts once."""
         info = self._for_writing(table)
         ready = self.prepare(table, df, now_ns, strict, judged or source is not None)
         batch = self._next_batch(info, source)
-        self._write(ready.select("tag", "ts_ns", "value", F.lit(batch).cast("long").alias("arrived"), "seq", "day"), info, batch, f"{self.catalog.folder(info.name)}/data", source is not None)
+        self._write(ready.select("tag", "ts_ns", "value", F.lit(batch).cast("long").alias("arrived"), "seq", "day"), batch, f"{self.catalog.folder(info.name)}/data", source is not None, self.config.cluster)
         self._sweep_in_turn(info.name, now_ns)
         return batch
 
-    def _write(self, rows: DataFrame, info: TableInfo, batch: int, folder: str, again: bool = False) -> None:
+    def _write(self, rows: DataFrame, batch: int, folder: str, again: bool = False, cluster: bool = True) -> None:
         codec = self.config.compression if self.config.compression in CODECS else "none"
-        out = rows.withColumn("batch", F.lit(batch).cast("long")).repartition("day", F.pmod(F.hash("tag"), F.lit(16))).sortWithinPartitions("day", "tag", "ts_ns", "arrived", "seq")
+        laid = rows.repartitionByRange(shuffle_width(self.spark), "day", "tag", "ts_ns") if cluster else rows
+        out = laid.withColumn("batch", F.lit(batch).cast("long")).sortWithinPartitions("day", "batch", "tag", "ts_ns", "arrived", "seq")
         writer = out.write.partitionBy("day", "batch").option("compression", codec)
         (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if again else writer.mode("append")).parquet(folder)
 
@@ -368,7 +371,7 @@ class Database:
         whole, newest = self._series(info), self._newest(info)
         new = f"{self.config.path}/{info.name}/v{info.version + 1}"
         self._delete(new)  # left by a compaction that was broken off
-        self._write(whole.drop("batch"), info, last, f"{new}/data")
+        self._write(whole.drop("batch"), last, f"{new}/data")
         newest.write.parquet(f"{new}/newest/{last}")
         fs, p = self._path(f"{new}/batches/{last}")
         fs.createNewFile(p)
