@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -407,6 +408,9 @@ def scripts(files: DataFrame, records: DataFrame, every: DataFrame | None = None
         .join(schemas.select(F.col("file_id").alias("prev"), F.col("fields").alias("before")), "prev", "left")
         .select("tbl_name", "file_id", "written_ns", "before", "after")
     )
+    # most files have the fields of the one before, whatever their order
+    fields = lambda side: F.array_sort(F.transform(F.coalesce(side, F.array().cast(schemas.schema["fields"].dataType)), lambda x: F.struct(x["path"], F.coalesce(x["type"], F.lit("")))))
+    pairs = pairs.where(fields(F.col("before")) != fields(F.col("after")))
     return pairs.mapInPandas(
         _scripts(structures), "tbl_name string, written_ns long, file_id long, change_kind string, old_path string, new_path string, node string"
     )
@@ -417,80 +421,106 @@ def changes(files: DataFrame, records: DataFrame, every: DataFrame | None = None
     return scripts(files, records, every, False).drop("node")
 
 
-def _apply_range(pdf: pd.DataFrame) -> pd.DataFrame:
+def _groups(frames: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of each run of rows with the same first ``keys`` columns, over all frames."""
+    rows = (r for pdf in frames for r in zip(*(pdf[c].tolist() for c in pdf.columns)))
+    for key, group in groupby(rows, key=lambda r: r[:keys]):
+        yield key, [r[keys:] for r in group]
+
+
+class _Range:
     """The scripts of a range of files, applied to paths that stand for whatever they are before the range.
 
-    Rows of kind ``use`` give what a path of a file stands for: ``s:path``, what that path was before the range, or ``b:n``, the n-th that
-    began in it. Rows of kind ``end`` give of each of these the path at the end (null if it is gone) and the last path that it had.
+    A path stands for ``s:path``, what that path was before the range, or ``b:n``, the n-th field that began in it.
     """
-    tbl, part = pdf.tbl_name.iloc[0], int(pdf["part"].iloc[0])
-    now: dict[str, str] = {}
-    last: dict[str, str] = {}
-    touched: set[str] = set()
-    born, out = 0, []
-
-    def at(path: str) -> str:
-        if path not in now:
-            ref = f"s:{path}" if path not in touched else None
-            if ref is None:  # not there any more, and not said to come back
-                return birth(path)
-            now[path], last[ref] = ref, path
-            touched.add(path)
-        return now[path]
-
-    def birth(path: str) -> str:
-        nonlocal born
-        born += 1
-        ref = f"b:{born - 1:09d}"
-        now[path], last[ref] = ref, path
-        touched.add(path)
+
+    def __init__(self):
+        self.now: dict[str, str] = {}
+        self.last: dict[str, str] = {}  # the last path of each
+        self.touched: set[str] = set()
+        self.born = 0
+
+    def _put(self, path: str, ref: str) -> str:
+        self.now[path], self.last[ref] = ref, path
+        self.touched.add(path)
         return ref
 
-    for (_, file_id), rows in pdf.sort_values(["idx", "turn", "old_path", "new_path"]).groupby(["idx", "file_id"], sort=False):
-        edits = rows[rows.turn == 0]
+    def birth(self, path: str) -> str:
+        self.born += 1
+        return self._put(path, f"b:{self.born - 1:09d}")
+
+    def at(self, path: str) -> str:
+        if path in self.now:
+            return self.now[path]
+        # what isn't there any more, and isn't said to come back, is new
+        return self.birth(path) if path in self.touched else self._put(path, f"s:{path}")
+
+    def apply(self, edits: list[tuple[str, str, str]]) -> None:
         moved = []
-        for kind, a, z in edits[["change_kind", "old_path", "new_path"]].itertuples(index=False):
+        for kind, old, new in edits:
             if kind in ("renamed", "removed"):
-                ref = at(a)
-                del now[a]
+                ref = self.at(old)
+                del self.now[old]
                 if kind == "renamed":
-                    moved.append((z, ref))
+                    moved.append((new, ref))
         for path, ref in moved:
-            now[path], last[ref] = ref, path
-            touched.add(path)
-        for path in edits.new_path[edits.change_kind == "added"]:
-            birth(path)
-        out += [(tbl, part, "use", int(file_id), path, kind, at(path), None, None) for path, kind in rows[rows.turn == 1][["new_path", "type"]].itertuples(index=False)]
-    ends = {ref: path for path, ref in now.items()}
-    out += [(tbl, part, "end", None, None, None, ref, ends.get(ref), path) for ref, path in last.items()]
-    return pd.DataFrame(out, columns=["tbl_name", "part", "kind", "file_id", "path", "type", "ref", "ends", "last"])
+            self._put(path, ref)
+        for kind, _, new in edits:
+            if kind == "added":
+                self.birth(new)
+
+
+def _apply_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per range of a table what each path of each file stands for (kind ``use``), and of all of these the path at the end (null if it is
+    gone) and the last path that they had (kind ``end``)."""
+    columns = ["tbl_name", "part", "kind", "file_id", "path", "type", "ref", "ends", "last"]
+    out: list[tuple] = []
+    for (tbl, part), rows in _groups(frames, 2):
+        state = _Range()
+        for (_, file_id), own in groupby(rows, key=lambda r: r[:2]):
+            own = list(own)
+            state.apply([r[3:6] for r in own if r[2] == 0])
+            out += [(tbl, part, "use", file_id, r[5], r[6], state.at(r[5]), None, None) for r in own if r[2] == 1]
+        ends = {ref: path for path, ref in state.now.items()}
+        out += [(tbl, part, "end", None, None, None, ref, ends.get(ref), path) for ref, path in state.last.items()]
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    yield pd.DataFrame(out, columns=columns)
 
 
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+def _compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The mappings of a table's ranges, one after the other: which field each ``ref`` is, by the last path that the field had."""
-    now: dict[str, int] = {}
-    fields: list[str] = []
-    refs = []
-    for part, rows in pdf.sort_values(["part", "ref"]).groupby("part", sort=True):
-        ends = []
-        for ref, end, path in rows[["ref", "ends", "last"]].itertuples(index=False):
-            field = now.pop(ref[2:], None) if ref.startswith("s:") else None
-            if field is None:
-                field = len(fields)
-                fields.append(path)
-            fields[field] = path
-            refs.append((part, ref, field))
-            if end is not None:
-                ends.append((end, field))
-        now.update(ends)
-    names, used = [], set()
-    for path in fields:  # two fields may have ended under one path, one after the other
-        name, k = path, 2
-        while name in used:
-            name, k = f"{path}#{k}", k + 1
-        used.add(name)
-        names.append(name)
-    return pd.DataFrame([(pdf.tbl_name.iloc[0], p, r, names[f]) for p, r, f in refs], columns=["tbl_name", "part", "ref", "field"])
+    columns = ["tbl_name", "part", "ref", "field"]
+    out: list[tuple] = []
+    for (tbl,), rows in _groups(frames, 1):
+        now: dict[str, int] = {}
+        fields: list[str] = []
+        refs = []
+        for part, own in groupby(rows, key=lambda r: r[0]):
+            ends = []
+            for _, ref, end, path in own:
+                field = now.pop(ref[2:], None) if ref.startswith("s:") else None
+                if field is None:
+                    field = len(fields)
+                    fields.append(path)
+                fields[field] = path
+                refs.append((part, ref, field))
+                if end is not None:
+                    ends.append((end, field))
+            now.update(ends)
+        names, used = [], set()
+        for path in fields:  # two fields may have ended under one path, one after the other
+            name, k = path, 2
+            while name in used:
+                name, k = f"{path}#{k}", k + 1
+            used.add(name)
+            names.append(name)
+        out += [(tbl, p, r, names[f]) for p, r, f in refs]
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    yield pd.DataFrame(out, columns=columns)
 
 
 def projections(files: DataFrame, records: DataFrame, size: int = RANGE) -> DataFrame:
@@ -510,11 +540,12 @@ def projections(files: DataFrame, records: DataFrame, size: int = RANGE) -> Data
     edits = row(found.drop("tbl_name").join(listed, "file_id"), 0, F.col("change_kind"), F.col("old_path"), F.col("new_path"), none)
     first = row(uses.where("idx = 0"), 0, F.lit("added"), F.lit(""), F.col("path"), none)
     used = row(uses, 1, none, F.lit(""), F.col("path"), F.col("type"))
-    ranged = edits.unionByName(first).unionByName(used).groupBy("tbl_name", "part").applyInPandas(
-        _apply_range, "tbl_name string, part int, kind string, file_id long, path string, type string, ref string, ends string, last string"
+    laid = edits.unionByName(first).unionByName(used).repartition("tbl_name", "part").sortWithinPartitions("tbl_name", "part", "idx", "file_id", "turn", "old_path", "new_path")
+    ranged = materialize(
+        laid.mapInPandas(_apply_ranges, "tbl_name string, part int, kind string, file_id long, path string, type string, ref string, ends string, last string"), "ranges"
     )
-    ranged = materialize(ranged, "ranges")
-    names = ranged.where("kind = 'end'").groupBy("tbl_name").applyInPandas(_compose, "tbl_name string, part int, ref string, field string")
+    ends = ranged.where("kind = 'end'").select("tbl_name", "part", "ref", "ends", "last").repartition("tbl_name").sortWithinPartitions("tbl_name", "part", "ref")
+    names = ends.mapInPandas(_compose, "tbl_name string, part int, ref string, field string")
     return ranged.where("kind = 'use'").join(names, ["tbl_name", "part", "ref"]).select("tbl_name", "file_id", "path", "field", "type")
 
 
