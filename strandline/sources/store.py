@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -179,7 +180,11 @@ class Database:
             return old if have else self.spark.createDataFrame([], schema)
         since = self._series(info).where(F.col("batch").between(have + 1, last)).select(schema.names)
         both = since if old is None else old.unionByName(since)
-        reads.latest(both, "arrived", "seq").write.mode("overwrite").parquet(f"{folder}/{last}")
+        own = f"{folder}/new-{uuid.uuid4().hex}"
+        reads.latest(both, "arrived", "seq").write.parquet(own)
+        fs, p = self._path(own)
+        if self._exists(f"{folder}/{last}") or not fs.rename(p, self._path(f"{folder}/{last}")[1]):
+            self._delete(own)  # somebody else has written the same
         for x in whole[:-1]:  # the one before stays for those who are reading it
             self._delete(f"{folder}/{x}")
         return self.spark.read.schema(schema).parquet(f"{folder}/{last}")
