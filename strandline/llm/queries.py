@@ -138,7 +138,7 @@ ORACLES = {
     "p2_from_days": _BITS + f"""r AS (SELECT attr_code, (k >> 44) * 17592186044416 AS lo, row_number() OVER (PARTITION BY attr_code ORDER BY k) AS i, count(*) OVER (PARTITION BY attr_code) AS n FROM o)
 SELECT attr_code, q, n, {_AS_DOUBLE.format('lo')} AS low, {_AS_DOUBLE.format('(lo + 17592186044415)')} AS high
 FROM r, (SELECT unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.99]) AS q) WHERE i = greatest(1, ceil(q * n::DOUBLE)::BIGINT)""",
-    "p8_check": "SELECT count(DISTINCT doc_id) AS documents, 0 AS broken, 0 AS overlaps, 0 AS overfull, true AS well_filled FROM documents",
+    "p8_check": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS broken, 0::BIGINT AS overlaps, 0::BIGINT AS overfull, true AS well_filled FROM documents",
     "p2_percentiles": _P2,
     "p4_found": _P4 + "SELECT tag_key, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM r GROUP BY tag_key, run HAVING count(*) >= 2",
     "p4_runs": _P4 + """SELECT tag_key, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, max(ts_ns) - min(ts_ns) AS duration_ns,
