@@ -55,25 +55,24 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     executors, and lets several consumers share one computation. The table lives until ``release`` or the end of the program."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(release, spark)
-    _MADE.append(path)
+    _MADE.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_MADE: list[str] = []
+_MADE: list[tuple[SparkSession, str]] = []
 
 
-def release(spark: SparkSession) -> None:
+@atexit.register
+def release() -> None:
     """Delete all tables that ``materialize`` has written; results that are still to be read from them can't be any more."""
     while _MADE:
-        path = _MADE.pop()
+        spark, path = _MADE.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session is gone: the folder stays
-            return
+            continue
 
 
 def ship(spark: SparkSession) -> None:

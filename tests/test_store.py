@@ -7,7 +7,7 @@ from strandline.catalog import BOOL, FLOAT, INT, STRING, STRUCTURE, UNKNOWN, Col
 from strandline.errors import DatabaseClosed, EmptyValue, LateRecord, NoDataForTag, TableExists, TableNotFound, TagNotFound, TimestampOutOfRange, TypeMismatch, UnsupportedFloat
 from strandline.functions.predicates import Condition, build
 from strandline.sources.store import Config, Database
-from strandline.streaming.ingest_stream import start_ingest, windowed
+from strandline.streaming.ingest_stream import kept_stream, start_ingest, windowed
 
 T0, S = 1_700_000_000_000_000_000, 10**9
 
@@ -204,3 +204,17 @@ def test_unequal_to_another_kind(spark):
         kind = rows.schema["value"].dataType
         assert [r.n for r in rows.where(build(Condition("value", "!=", 5), "value", kind)).collect()] == [1]
         assert rows.where(build(Condition("value", "=", 5), "value", kind)).count() == 0
+
+
+def test_state_with_a_time_to_live(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "tag string, ts_ns long, value double"
+    for k in range(2):
+        spark.createDataFrame([("a", T0 + (10 * k + i) * S, float(i // 5)) for i in range(10)], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, ttl in (("never", 0), ("ttl", 3600)):
+        kept = kept_stream(stream, dedup_ns=3600 * S, ttl_s=ttl)
+        q = kept.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/{name}-ckpt").trigger(availableNow=True).start(f"file://{tmp_path}/{name}")
+        q.awaitTermination(120)
+        got = sorted(r.ts_ns for r in spark.read.schema(schema).parquet(f"file://{tmp_path}/{name}").collect())
+        assert [(t - T0) // S for t in got] == [0, 5, 10, 15]
