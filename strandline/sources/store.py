@@ -1,7 +1,7 @@
 """The database: tables of tagged series as Parquet, written and read through DataFrames.
 
-A table is a folder partitioned by UTC day and batch, its files sorted by (tag, ts_ns), so that a range of one tag reads the
-row groups that hold it. Each batch has a number, allotted in order of arrival and taken by creating a file of that name, which only one can do. A
+A table is a folder of batches, each partitioned by UTC day, its files sorted by (tag, ts_ns), so that a range of one tag reads the
+row groups that hold it. A batch is there for readers once it is written whole. Each batch has a number, allotted in order of arrival and taken by creating a file of that name, which only one can do. A
 batch that is written again (a replayed micro-batch) has its old number and takes the place of what it wrote before. Beside the data there is a table of each tag's
 newest point, up to some batch; whoever needs it adds the batches since then, reading no others. Compaction writes a new version of
 the folder, which the list of tables then names. Compression, buffers, log replay and block indexes are Parquet's and Spark's business.
@@ -117,11 +117,15 @@ class Database:
         order of (arrived, seq): the number of the batch they were written in, and their place in it."""
         return self._series(self._info(table))
 
-    def _series(self, info: TableInfo) -> DataFrame:
+    def _series(self, info: TableInfo, after: int = 0, upto: int | None = None) -> DataFrame:
+        """Rows of the batches that are written whole, or of those with numbers above ``after`` up to ``upto``."""
         folder = f"{self.catalog.folder(info.name)}/data"
-        if not self._exists(folder):
+        fs, p = self._path(f"{folder}/batch=*/_SUCCESS")
+        numbers = [int(x.getPath().getParent().getName().split("=")[1]) for x in fs.globStatus(p) or []]
+        paths = [f"{folder}/batch={n}" for n in sorted(numbers) if n > after and (upto is None or n <= upto)]
+        if not paths:
             return self.spark.createDataFrame([], self._schema(info))
-        df = self.spark.read.schema(self._schema(info)).parquet(folder)
+        df = self.spark.read.schema(self._schema(info)).option("basePath", folder).parquet(*paths)
         return df if info.swept_day is None else df.where(F.col("day") >= info.swept_day)
 
     # --- files
@@ -178,7 +182,7 @@ class Database:
         old = self.spark.read.schema(schema).parquet(f"{folder}/{have}") if have else None
         if have == last:
             return old if have else self.spark.createDataFrame([], schema)
-        since = self._series(info).where(F.col("batch").between(have + 1, last)).select(schema.names)
+        since = self._series(info, have, last).select(schema.names)
         both = since if old is None else old.unionByName(since)
         own = f"{folder}/new-{uuid.uuid4().hex}"
         reads.latest(both, "arrived", "seq").write.parquet(own)
@@ -259,16 +263,15 @@ class Database:
         info = self._for_writing(table)
         ready = self.prepare(table, df, now_ns, strict, judged or source is not None)
         batch = self._next_batch(info, source)
-        self._write(ready.select("tag", "ts_ns", "value", F.lit(batch).cast("long").alias("arrived"), "seq", "day"), batch, f"{self.catalog.folder(info.name)}/data", source is not None, self.config.cluster)
+        self._write(ready.select("tag", "ts_ns", "value", F.lit(batch).cast("long").alias("arrived"), "seq", "day"), f"{self.catalog.folder(info.name)}/data/batch={batch}", self.config.cluster)
         self._sweep_in_turn(info.name, now_ns)
         return batch
 
-    def _write(self, rows: DataFrame, batch: int, folder: str, again: bool = False, cluster: bool = True) -> None:
+    def _write(self, rows: DataFrame, folder: str, cluster: bool = True) -> None:
         codec = self.config.compression if self.config.compression in CODECS else "none"
         laid = rows.repartitionByRange(shuffle_width(self.spark), "day", "tag", "ts_ns") if cluster else rows
-        out = laid.withColumn("batch", F.lit(batch).cast("long")).sortWithinPartitions("day", "batch", "tag", "ts_ns", "arrived", "seq")
-        writer = out.write.partitionBy("day", "batch").option("compression", codec)
-        (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if again else writer.mode("append")).parquet(folder)
+        out = laid.sortWithinPartitions("day", "tag", "ts_ns", "arrived", "seq")
+        out.write.partitionBy("day").option("compression", codec).mode("overwrite").parquet(folder)
 
     def write_batch(self, table: str, points: Iterable[tuple[str, int, Any]], now_ns: int | None = None) -> int:
         """Points as (tag, ts_ns, value): all are checked before any is written. Gives the number written; nothing for no points."""
@@ -277,7 +280,7 @@ class Database:
         if not rows:
             return 0
         batch = self.append(info.name, self._points(info, rows), now_ns)
-        return self._series(info).where(F.col("batch") == batch).count()
+        return self._series(info, batch - 1, batch).count()
 
     # --- reading
 
@@ -350,14 +353,16 @@ class Database:
             return 0
         info = self._info(table)
         folder = f"{self.catalog.folder(info.name)}/data"
-        days = sorted(int(x.split("=")[1]) for x in self._names(folder) if x.startswith("day="))
+        batches = {x: [int(d.split("=")[1]) for d in self._names(f"{folder}/{x}") if d.startswith("day=")] for x in self._names(folder)}
+        days = sorted({d for x in batches.values() for d in x})
         old = [d for d in days[:-1] if (d + 1) * DAY_NS <= self._now(now_ns) - keep]
         if old:
             self._newest(info)  # of all tags, as long as their data are there
             info.swept_day = max(old[-1] + 1, info.swept_day or 0)
             self.catalog.store()
-        for d in old:
-            self._delete(f"{folder}/day={d}")
+        for x, own in batches.items():
+            for d in set(own) & set(old):
+                self._delete(f"{folder}/{x}/day={d}")
         return len(old)
 
     def _sweep_in_turn(self, name: str, now_ns: int | None) -> None:
@@ -376,7 +381,7 @@ class Database:
         whole, newest = self._series(info), self._newest(info)
         new = f"{self.config.path}/{info.name}/v{info.version + 1}"
         self._delete(new)  # left by a compaction that was broken off
-        self._write(whole.drop("batch"), last, f"{new}/data")
+        self._write(whole.drop("batch"), f"{new}/data/batch={last}")
         newest.write.parquet(f"{new}/newest/{last}")
         fs, p = self._path(f"{new}/batches/{last}")
         fs.createNewFile(p)

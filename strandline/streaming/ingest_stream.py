@@ -84,8 +84,11 @@ def start_ingest(
     """Append a stream to a table; guards and quantisation per micro-batch, the kept-point rules in state.
 
     Each micro-batch is a batch of the table under the name of the query (as its checkpoint has it) and its number: one that is replayed takes the place of what it
-    wrote before. Backpressure is the source's ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``.
+    wrote before. Backpressure is the source's ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``. State that expires (``ttl_s``) keeps a query running, so that it
+    can't go with ``available_now``.
     """
+    if ttl_s and available_now:
+        raise ValueError("a query whose state expires doesn't end by itself")
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     c = database.config

@@ -207,6 +207,8 @@ def test_unequal_to_another_kind(spark):
 
 
 def test_state_with_a_time_to_live(spark, tmp_path):
+    with pytest.raises(ValueError):
+        start_ingest(None, None, "t", available_now=True, ttl_s=5)
     src, schema = str(tmp_path / "src"), "tag string, ts_ns long, value double"
     for k in range(2):
         spark.createDataFrame([("a", T0 + (10 * k + i) * S, float(i // 5)) for i in range(10)], schema).coalesce(1).write.mode("append").parquet(src)
@@ -214,7 +216,8 @@ def test_state_with_a_time_to_live(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for name, ttl in (("never", 0), ("ttl", 3600)):
         kept = kept_stream(stream, dedup_ns=3600 * S, ttl_s=ttl)
-        q = kept.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/{name}-ckpt").trigger(availableNow=True).start(f"file://{tmp_path}/{name}")
-        q.awaitTermination(120)
+        q = kept.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/{name}-ckpt").start(f"file://{tmp_path}/{name}")
+        q.processAllAvailable()
+        q.stop()
         got = sorted(r.ts_ns for r in spark.read.schema(schema).parquet(f"file://{tmp_path}/{name}").collect())
         assert [(t - T0) // S for t in got] == [0, 5, 10, 15]
