@@ -329,10 +329,13 @@ def _fit(got: pd.DataFrame) -> Network:
     classes = sorted(got.lang.unique())
     windows, labels = as_matrix(list(got.window)), got.lang.map(classes.index).to_numpy()
     net = train(windows[~held], labels[~held], classes)
-    told = net.probabilities(windows).argmax(axis=1)
+    lonely = {i for i in range(len(classes)) if not ((labels == i) & held).any()}  # a single document is judged by itself
+    told = np.full(len(labels), -1)
+    looked = np.ones(len(labels), dtype=bool) if lonely else held
+    told[looked] = net.probabilities(windows[looked]).argmax(axis=1)
     confirmed = []
     for i, c in enumerate(classes):
-        test = held if ((labels == i) & held).any() else ~held  # a single document is judged by itself
+        test = ~held if i in lonely else held
         own, as_it = (labels == i) & test, (told == i) & test
         if (own & as_it).sum() >= CONFIRMED * max(own.sum(), as_it.sum()):
             confirmed.append(c)
