@@ -28,6 +28,8 @@ LENGTH, FIT_DOCUMENTS, FIT_WINDOWS = 64, 500, 8
 HELD_OUT, CONFIRMED = 8, 0.5
 #: A rare language's windows are repeated in training, at most so often, until it has a quarter of the windows of a language on average.
 REPEAT = 20
+#: Steps of the training at least, in batches of so many windows; share of all held-out windows that a network must tell for its word on labels to count.
+STEPS, BATCH, TRUSTED = 600, 128, 0.8
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 16, 6
 #: Windows end where the rolling hash says so, on average 64 bytes apart, so that passages that occur again give the same ones.
 CUT = np.uint32(63)
@@ -180,10 +182,11 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: i
     )
     params = [net.embed, net.filters, net.bias, net.out, net.out_bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, size = 0, 128
+    step, size = 0, BATCH
     count = np.bincount(labels, minlength=len(classes))
     times = np.clip(len(labels) // (4 * len(classes) * np.maximum(count, 1)), 1, REPEAT)
     rows = np.repeat(np.arange(len(windows)), times[labels])
+    epochs = max(epochs, -(-STEPS * BATCH // max(1, len(rows))))
     for epoch in range(epochs):
         if epoch == epochs // 2:
             p = net.probabilities(windows)[np.arange(len(labels)), labels]
@@ -339,7 +342,8 @@ def _fit(got: pd.DataFrame) -> Network:
         own, as_it = (labels == i) & test, (told == i) & test
         if (own & as_it).sum() >= CONFIRMED * max(own.sum(), as_it.sum()):
             confirmed.append(c)
-    if len(confirmed) in (0, len(classes)):
+    sure = (told[held] == labels[held]).mean() if held.any() else 0.0
+    if len(confirmed) in (0, len(classes)) or sure < TRUSTED:  # a network that tells little can't deny a label
         return net
     keep = got.lang.isin(confirmed).to_numpy() & ~held
     return train(windows[keep], got.lang[keep].map(confirmed.index).to_numpy(), confirmed)
