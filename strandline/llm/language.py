@@ -2,7 +2,8 @@
 
 The network (byte embedding, filters of several widths, max pooling, softmax) is trained in numpy on windows of a
 bounded sample of labelled documents; labels may be wrong, so windows that the half-trained network denies are
-dropped before it is trained on. It is then applied to fixed-length windows of whole texts, in batches; a window that
+dropped before it is trained on, and the network used is a second one, trained on the documents whose label the first
+one agrees with. It is then applied to fixed-length windows of whole texts, in batches; a window that
 occurs again is looked up. A paragraph has the language of most of its words: its windows vote with their words, and
 the document's main language decides where they hardly say anything.
 """
@@ -26,6 +27,8 @@ LENGTH, FIT_DOCUMENTS, FIT_WINDOWS = 64, 500, 8
 #: One document in so many is held out to see whether a label names a language of its own: at least this share of its windows must be told as it, and
 #: at least this share of the windows told as it must be its own.
 HELD_OUT, CONFIRMED = 8, 0.5
+#: Two labels name one language if of the held-out windows of either (each label's count as much) no more than this share is told from the other's; by chance it is half.
+ALIKE = 0.7
 #: A rare language's windows are repeated in training, at most so often, until it has a quarter of the windows of a language on average.
 REPEAT = 20
 #: Steps of the training at least, in batches of so many windows; share of all held-out windows that a network must tell for its word on labels to count.
@@ -118,10 +121,11 @@ def paragraphs(text: str | None) -> list[tuple[int, str]]:
 
 
 def words_only(text: str) -> str:
-    """A text without what stands for something withheld, and without markup and digests."""
+    """A text without what stands for something withheld, and without markup and digests; any white space, no-break and wide spaces too, is one space."""
     if any(c in text for c in ("[", "*", "\u2588", "<", "XXX")):
         text = _WITHHELD.sub(" ", text)
-    return _DIGEST.sub(" ", text) if _DIGEST.search(text) else text
+    text = _DIGEST.sub(" ", text) if _DIGEST.search(text) else text
+    return " " + " ".join(text.split())
 
 
 # --- the network --------------------------------------------------------------------------------------------------
@@ -308,8 +312,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     key; so a rare language has as many as a common one, or all that it has.
 
     Every language that some documents are labelled as is a class, however rare, if it is one of its own: documents that were held out must be told as it
-    for the most part, and others must not. A code that is only ever put on texts of other languages fails that, and is dropped. Without any labelled
-    paragraph there is nothing to fit: ValueError.
+    for the most part, and others must not. A code that is only ever put on texts of other languages fails that, and is dropped; of codes whose texts can't be
+    told apart the one with most documents in the whole table is the language, as each may have equally many in the sample. Without any labelled paragraph
+    there is nothing to fit: ValueError.
     """
     labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).withColumn("_code", code_column(F.col(label)))
     counts = {r["_code"]: r["n"] for r in labelled.where("_code is not null").groupBy("_code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per ISO code
@@ -322,10 +327,22 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     if not len(got):
         raise ValueError("no labelled paragraph to fit on")
     got = got.assign(window=got.window.map(bytes)).sort_values(["lang", "doc", "window"]).reset_index(drop=True)
-    return _fit(got)
+    return _fit(got, counts)
 
 
-def _fit(got: pd.DataFrame) -> Network:
+def _leads(p: np.ndarray, rows: list[np.ndarray], often: np.ndarray) -> np.ndarray:
+    """For each class the most frequent one (by ``often``) that ``p`` doesn't tell it from, judged by the ``rows`` of either; itself if there is none."""
+    lead, first = np.arange(len(rows)), []
+    for i in np.argsort(-often, kind="stable"):
+        told = [((p[rows[i], i] > p[rows[i], j]).mean() + (p[rows[j], j] > p[rows[j], i]).mean()) / 2 for j in first]
+        if told and min(told) <= ALIKE:
+            lead[i] = first[int(np.argmin(told))]
+        else:
+            first.append(i)
+    return lead
+
+
+def _fit(got: pd.DataFrame, counts: dict[str, int]) -> Network:
     # of every language's documents each HELD_OUT-th, from the second on
     nth = got.groupby("lang").doc.transform(lambda d: pd.factorize(d)[0])
     held = (nth % HELD_OUT == 1).to_numpy()
@@ -333,19 +350,25 @@ def _fit(got: pd.DataFrame) -> Network:
     windows, labels = as_matrix(list(got.window)), got.lang.map(classes.index).to_numpy()
     net = train(windows[~held], labels[~held], classes)
     lonely = {i for i in range(len(classes)) if not ((labels == i) & held).any()}  # a single document is judged by itself
-    told = np.full(len(labels), -1)
-    looked = np.ones(len(labels), dtype=bool) if lonely else held
-    told[looked] = net.probabilities(windows[looked]).argmax(axis=1)
+    p = net.probabilities(windows)
+    often = np.array([counts[c] for c in classes])
+    stands = often / got.groupby("lang").doc.nunique()[classes].to_numpy()  # documents of the table that one of the sample stands for
+    sure = np.average(((p * stands).argmax(axis=1) == labels)[held], weights=stands[labels[held]]) if held.any() else 0.0
+    if sure < TRUSTED:  # a network that tells little can't deny a label
+        return net
+    lead = _leads(p, [np.flatnonzero((labels == i) & (~held if i in lonely else held)) for i in range(len(classes))], often)
+    told = (p @ (lead[:, None] == np.arange(len(classes)))).argmax(axis=1)
     confirmed = []
     for i, c in enumerate(classes):
         test = ~held if i in lonely else held
-        own, as_it = (labels == i) & test, (told == i) & test
-        if (own & as_it).sum() >= CONFIRMED * max(own.sum(), as_it.sum()):
+        own, as_it = (lead[labels] == i) & test, (told == i) & test
+        if lead[i] == i and (own & as_it).sum() >= CONFIRMED * max(own.sum(), as_it.sum()):
             confirmed.append(c)
-    sure = (told[held] == labels[held]).mean() if held.any() else 0.0
-    if len(confirmed) in (0, len(classes)) or sure < TRUSTED:  # a network that tells little can't deny a label
+    if not confirmed:
         return net
-    keep = got.lang.isin(confirmed).to_numpy() & ~held
+    # a label is that of a whole document: one that most of its windows deny is wrong
+    right = pd.Series(told == labels).groupby([got.lang, got.doc]).transform("mean") >= CONFIRMED
+    keep = (got.lang.isin(confirmed) & right).to_numpy()
     return train(windows[keep], got.lang[keep].map(confirmed.index).to_numpy(), confirmed)
 
 

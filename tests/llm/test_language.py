@@ -110,6 +110,44 @@ def test_rare_languages_are_classes_and_wrong_codes_are_not(spark, sf01, net):
     assert told.lang == "fi"
 
 
+def test_wrong_codes_with_as_many_sampled_documents_are_no_classes(spark):
+    """In a large table a code on a hundredth of the Dutch documents fills its share of the sample as Dutch does."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(30))
+    code = L.code_column(F.col("lang"))
+    lang = F.when((code == "nl") & (part < 3), "af").when((code == "pl") & (part < 4), "cs").when((code == "pl") & (part < 8), "sk").otherwise(F.col("lang"))
+    wrong = docs.withColumn("lang", lang)
+    counts = {r.lang: r["count"] for r in wrong.groupBy("lang").count().collect()}
+    assert all(counts[c] >= 60 for c in ("af", "cs", "sk")), counts
+    net = L.fit(wrong, documents=60)
+    assert net.classes == sorted(WORDS)
+    text = "1. De rechtbank heeft het hoger beroep niet ontvankelijk verklaard.\n2. De getuige heeft de factuur bevestigd zonder nadere redenen te geven."
+    rows = L.assign_languages(spark.createDataFrame([(1, "af", text)], "doc_id long, lang string, text string"), net).collect()
+    assert {r.lang for r in rows} == {"nl"}
+
+
+def test_any_space_parts_words(spark, net):
+    german = "Das Gericht prüfte die Klausel zur verspäteten Lieferung nach Anhörung beider Parteien."
+    count = lambda t: int(L.cut_windows([L.words_only(t)])[2].sum())
+    assert all(count(s + german.replace(" ", s)) == count(german) == 12 for s in (" ", "  ", "\u00a0", "\u2003", "\u202f", "\u3000", "\n"))
+    text = "\n".join([*(f"{i}.\u2003{german}".replace(" ", "\u00a0") for i in (1, 2, 3)), "4. The court dismissed the appeal for want of jurisdiction.", "5. The parties were heard on 2 May 2001."])
+    got = {r.para_no: r.lang for r in L.assign_languages(spark.createDataFrame([(1, "de", text)], "doc_id long, lang string, text string"), net).collect()}
+    assert got == {0: "de", 1: "de", 2: "de", 3: "de", 4: "en", 5: "en"}
+
+
+def test_documents_whose_label_is_denied_are_not_trained_on(spark, sf01, monkeypatch):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "lang", "text")
+    french = (L.code_column(F.col("lang")) == "fr") & (F.pmod("doc_id", F.lit(8)) == 3)
+    wrong = docs.where(french).select("doc_id", F.lit("it").alias("code"), "text").toPandas()
+    calls, train = [], L.train
+    monkeypatch.setattr(L, "train", lambda *a: calls.append(a) or train(*a))
+    L.fit(docs.withColumn("lang", F.when(french, "it").otherwise(F.col("lang"))))
+    windows, labels, classes = calls[-1]
+    italian = {w.tobytes() for w in windows[labels == classes.index("it")]}
+    denied = {w.tobytes() for w in L.as_matrix([bytes(x) for x in next(L._sample(iter([wrong]))).window])}
+    assert len(denied) > 50 and len(denied & italian) < 0.1 * len(denied), (len(denied), len(denied & italian))
+
+
 def test_saved_network_tells_the_same(spark, net, tmp_path):
     L.save(net, spark, f"file://{tmp_path}/net")
     again = L.restore(spark, f"file://{tmp_path}/net")
